@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kestrel.llm import packing, token_counts, url_filters
+from kestrel.llm import fingerprints, packing, token_counts, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
         "op3_packing": packing.op3_packing,
         "op4_token_counts": token_counts.op4_token_counts,
         "op8_url_filters": url_filters.op8_url_filters,
