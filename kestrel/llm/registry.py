@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from kestrel.llm import fingerprints, packing, token_counts, url_filters
+from kestrel.llm import fingerprints, jaccard_join, neighbours, packing, token_counts, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+        "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op3_packing": packing.op3_packing,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
         "op8_url_filters": url_filters.op8_url_filters,
     }
 
