@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm import fingerprints, jaccard_join, line_dedup, neighbours, packing, token_counts, url_filters
+from kestrel.llm import fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, token_counts, url_filters
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
         "op8_url_filters": url_filters.op8_url_filters,
+        "op9_quality_classifier": quality.op9_quality_classifier,
     }
 
 
