@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm import fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, token_counts, url_filters
+from kestrel.llm import fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, token_counts, url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op3_packing": packing.op3_packing,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_secret_scans": secret_scan.op5_secret_scans,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
         "op8_url_filters": url_filters.op8_url_filters,
