@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kestrel.llm import fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, token_counts, url_filters
+from kestrel.llm import fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, sentence_pieces, token_counts, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+        "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
         "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op3_packing": packing.op3_packing,
         "op4_token_counts": token_counts.op4_token_counts,
