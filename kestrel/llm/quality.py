@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -203,6 +204,20 @@ def score(docs: DataFrame, model: dict | None, p: CoTraining = CoTraining()) ->
     return with_views(docs).mapInArrow(scored, schema).withColumn("keep", F.col("score") >= p.keep)
 
 
+def accepted(docs: DataFrame, model: dict | None, p: CoTraining = CoTraining()) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model scores ``p.keep`` at least."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
+        views = [np.array([content_view(t) for t in text]).reshape(len(text), CONTENT), np.array([page_view(*x) for x in zip(text, lang, source, strict=True)]).reshape(len(text), PAGE)]
+        return pd.Series(combine(shared.value, views)[0] >= p.keep)
+
+    return docs.where(good(*[F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("text", "lang", "source")]))
+
+
 def classify(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> DataFrame:
     """Scores of all rows of ``docs`` by a model fitted to ``labels``.
 
