@@ -35,7 +35,7 @@ class Packing:
     sentence_penalty: float = 12.0
     bare_penalty: float = 48.0
     window_charge: float = 24.0
-    step: int = 12  # least tokens between two sentence cuts
+    step: int = 16  # least tokens between two sentence cuts
     smallest_power: int = 64  # least window that is left unpadded for being a power of two
     chunk: int = 1 << 19  # tokens
 
