@@ -1,9 +1,360 @@
-"""Queries of the encounter engine."""
+"""Queries of the encounter engine over the driver's tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from kestrel.config import Volumes
+from kestrel.functions import geodesy, geometry, parsing, quantize
+from kestrel.operators import dedup, proximity, segments, shapes, simulate, statistics
+from kestrel.plans import encounters as e
+from kestrel.plans import oracle
+from kestrel.plans.encounters import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison; no negative zero."""
+    return frame.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes])
+
+
+# segments, candidates, labels
+
+
+def segments_gap_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(segments.pair_segments(e.observations(spark, sf_dir), "id", "t", ["x", "y", "alt"], e.GAP_S, ("event_id",)))
+
+
+def segments_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(e.all_segments(spark, sf_dir))
+
+
+def bucket_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(e.found(spark, sf_dir).select("drone_id", "step", "density", "id", "dx", "dy", "horizontal", "vertical", "paired"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = e.points(spark, sf_dir).select("drone_id", "step", "density", "alt")
+    return rounded(proximity.labels(points, e.found(spark, sf_dir), e.KEYS, "id", e.HORIZONTAL_M, e.VERTICAL_M))
+
+
+def nearest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(proximity.nearest(e.found(spark, sf_dir), e.KEYS, "id"))
+
+
+def alerts(shape: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        near = e.found(spark, sf_dir)
+        points = e.points(spark, sf_dir).select(*e.KEYS, "density")
+        flagged = shapes.evaluate(points, near, e.KEYS, {"alert": shapes.all_shapes()[shape]})
+        counts = near.groupBy(*e.KEYS).agg(F.count(F.lit(1)).alias("n"))
+        return flagged.join(counts, e.KEYS, "left").select(*e.KEYS, "density", "alert", F.coalesce("n", F.lit(0)).alias("n_candidates"))
+    return query
+
+
+def group_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.found(spark, sf_dir).groupBy(*e.KEYS).agg(F.count(F.lit(1)).alias("n"), F.bool_or(proximity.within(e.HORIZONTAL_M, e.VERTICAL_M)).alias("danger"), F.count_distinct("id").alias("objects"))
+
+
+# statistics
+
+
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = statistics.by_shape(e.evaluated(spark, sf_dir), e.SHAPES)
+    return rows.groupBy("density", "shape").agg(*statistics.confusion(F.col("alert"), F.col("danger")))
+
+
+def roc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.roc_table(e.evaluated(spark, sf_dir), e.SHAPES), 9)
+
+
+def plot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.plot_rows(statistics.roc_table(e.evaluated(spark, sf_dir), e.SHAPES)))
+
+
+def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.mcnemar(e.evaluated(spark, sf_dir), e.SHAPES), 9)
+
+
+def per_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.per_cluster(e.evaluated(spark, sf_dir), e.SHAPES, "drone_id")
+
+
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = statistics.per_cluster(e.evaluated(spark, sf_dir), e.SHAPES, "drone_id")
+    return rounded(statistics.bootstrap(clusters, "drone_id", 200, 42), 9)
+
+
+def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = e.found(spark, sf_dir)
+    return rounded(statistics.sensitivity(e.evaluated(spark, sf_dir), found, e.KEYS, e.SHAPES, e.HORIZONTAL_M, e.VERTICAL_M), 9)
+
+
+def fanout_danger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = e.found(spark, sf_dir)
+    danger = proximity.labels(e.points(spark, sf_dir).select(*e.KEYS), found, e.KEYS, "id", e.HORIZONTAL_M, e.VERTICAL_M).where("danger")
+    offsets = found.select(*e.KEYS, F.col("id").alias("nearest"), "dx", "dy")
+    return rounded(danger.join(offsets, [*e.KEYS, "nearest"], "left").select(*e.KEYS, "nearest", "nearest_h", "nearest_v", "dx", "dy"), 4)
+
+
+# deduplication, partitions, filters
+
+
+def _day_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.events(spark, sf_dir).withColumn("day", parsing.date_key(F.col("ts"))).select("event_id", "user_id", "day", "ts", "event_type", "value")
+
+
+def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keep_last(_day_events(spark, sf_dir), ["user_id", "day"], [F.col("ts"), F.col("event_id")])
+
+
+def dedup_null_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _day_events(spark, sf_dir).withColumn("day", F.when(F.col("event_type") != "signup", F.col("day")))
+    return dedup.keep_last_where_set(rows, ["user_id"], "day", [F.col("ts"), F.col("event_id")])
+
+
+def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _day_events(spark, sf_dir).select("user_id", "day").distinct()
+
+
+def airborne_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(e.observations(spark, sf_dir).where(geometry.in_box(F.col("y"), F.col("x"), (40.0, 200.0, 400.0, 1500.0))))
+
+
+def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    bounds = orders.agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), F.count_if(F.col("o_totalprice") > 100000).alias("large"))
+    return bounds.select(parsing.rounded_epoch(F.col("first")).alias("first_s"), parsing.rounded_epoch(F.col("last")).alias("last_s"), "n", "customers", "large")
+
+
+def partition_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("date", parsing.date_key(F.col("o_orderdate"))).select("o_orderkey", "o_custkey", "o_totalprice", "date")
+    return dedup.latest_partition(rows, "date")
+
+
+def partitions_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days before the last that a table of sealed days (the even ones) doesn't hold."""
+    days = _day_events(spark, sf_dir).select("day").distinct()
+    sealed = days.where(F.substring("day", -2, 2).cast("int") % 2 == 0)
+    last = days.agg(F.max("day").alias("last"))
+    return days.join(F.broadcast(last), F.col("day") < F.col("last"), "left_semi").join(sealed, "day", "left_anti")
+
+
+# parsing
+
+
+def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("k") % 3 == 0, F.concat(F.col("k").cast("string"), F.lit(".0"))).when(F.col("k") % 3 == 1, F.lit("abc")).when(F.col("k") % 5 == 0, F.lit("")).otherwise(F.col("value").cast("string"))
+    rows = e.events(spark, sf_dir).withColumn("raw", text)
+    return rounded(rows.select("event_id", parsing.parse_double(F.col("raw")).alias("as_double"), parsing.parse_long(F.col("raw")).alias("as_long"), parsing.parse_byte(F.when(F.col("k") % 3 == 0, F.col("raw"))).cast("int").alias("as_byte")))
+
+
+def bool_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = F.array(*[F.lit(x) for x in ("True", "False", "true", "1", "")])
+    raw = F.when(F.col("k") % 6 < 5, F.get(forms, F.col("k") % 6))
+    return e.events(spark, sf_dir).select("event_id", parsing.parse_bool(raw).alias("parsed"))
+
+
+def trim_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("c_custkey") % 4 == 0, "").when(F.col("c_custkey") % 4 == 1, "   ").when(F.col("c_custkey") % 4 == 2, F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")))
+    rows = table(spark, sf_dir, "customer").withColumn("raw", raw)
+    return rows.select("c_custkey", parsing.trim_reported(F.col("raw")).alias("reported"), parsing.trim_stored(F.col("raw")).alias("stored"), parsing.slug(F.col("c_name")).alias("slug"), parsing.numbered(F.lit("dense"), F.col("c_custkey")).alias("numbered"), parsing.file_safe(F.lit("10:20:30")).alias("safe"))
+
+
+def list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("["), k.cast("string"), F.lit(", 2]"))).when(k % 4 == 1, "[]").when(k % 4 == 2, "oops")
+    found = parsing.parse_longs(raw)
+    return e.events(spark, sf_dir).select("event_id", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("items"))
+
+
+def epoch_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts")
+    return rounded(e.events(spark, sf_dir).select("event_id", parsing.epoch_seconds(ts).alias("seconds"), parsing.rounded_epoch(ts).alias("whole"), parsing.date_key(ts).alias("day")))
+
+
+# joins
+
+
+def left_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
+    return table(spark, sf_dir, "customer").join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), "top")
+
+
+def semi_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("hit")).distinct()
+    return table(spark, sf_dir, "orders").join(late, "o_orderkey", "left").select("o_orderkey", F.coalesce("hit", F.lit(False)).alias("flagged"))
+
+
+def fanout_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_discount > 0.05").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity")
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left")
+
+
+def grain_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    left, right = orders.select("o_orderkey", "o_totalprice"), orders.select("o_orderkey", "o_orderstatus")
+    return dedup.assert_grain(left.join(right, "o_orderkey"), left, right)
+
+
+def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    a = lines.groupBy("l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("a"))
+    b = lines.where("l_quantity < 10").groupBy("l_partkey").agg(F.bool_or(F.col("l_linestatus") == "O").alias("b"))
+    return a.join(b, "l_partkey", "full")
+
+
+def coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.coalesce(F.when(F.col("k") % 2 == 0, F.col("value")), F.col("k").cast("double"))
+    return rounded(e.events(spark, sf_dir).select("event_id", value.alias("alt")))
+
+
+# groups and exports
+
+
+def group_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.struct("ts", "event_id")
+    value = F.when(F.col("k") % 7 != 0, F.col("value"))
+    rows = e.events(spark, sf_dir).groupBy("user_id").agg(
+        F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by(value, F.when(value.isNotNull(), order)).alias("first_value"), F.max_by("k", order).alias("last_k"), F.count(F.lit(1)).alias("n"))
+    return rounded(rows)
+
+
+def collect_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = e.observations(spark, sf_dir).select("id", F.struct(F.rint("t").cast("bigint").alias("t"), "event_id", F.rint(F.col("x")).cast("bigint").alias("x")).alias("p"))
+    ordered = rows.groupBy("id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return ordered.select("id", F.array_join(F.transform("ps", lambda p: F.concat_ws(":", p["t"].cast("string"), p["x"].cast("string"))), ";").alias("points"))
+
+
+def first_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = F.when(F.col("k") % 3 == 0, " ").when(F.col("k") % 3 == 1, F.concat(F.lit("C"), F.col("k").cast("string"), F.lit(" ")))
+    return e.events(spark, sf_dir).groupBy("user_id").agg(dedup.first_set(sign, F.struct("ts", "event_id"), "callsign"))
+
+
+def _quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return parts.join(F.broadcast(quantize.parameters(parts, ["p_retailprice", "p_size"])))
+
+
+def quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = [quantize.quantized(F.col(c), F.col(f"{c}_s"), F.col(f"{c}_z")).alias(f"q_{c}") for c in ("p_retailprice", "p_size")]
+    return _quantized(spark, sf_dir).select("p_partkey", *q)
+
+
+def dequant_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _quantized(spark, sf_dir)
+    out = []
+    for c in ("p_retailprice", "p_size"):
+        s, z = F.col(f"{c}_s"), F.col(f"{c}_z")
+        out.append(F.max(F.abs(quantize.restored(quantize.quantized(F.col(c), s, z), s, z) - F.col(c))).alias(f"error_{c}"))
+    return rounded(rows.agg(*out, F.max(F.col("p_retailprice_s") / 2).alias("half_step")))
+
+
+def viz_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document for each density: counts, flights and dangers, in a fixed order."""
+    rows = e.evaluated(spark, sf_dir)
+    flights = e.points(spark, sf_dir).groupBy("density", "drone_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by("alt", "step").alias("alt"))
+    listed = flights.groupBy("density").agg(F.sort_array(F.collect_list(F.struct("drone_id", F.rint("t0").cast("bigint").alias("t0"), F.rint("t1").cast("bigint").alias("t1"), F.bround("alt", 2).alias("alt")))).alias("flights"))
+    counts = rows.groupBy("density").agg(F.count_if("danger").alias("dangers"), *[F.count_if(s).alias(s) for s in e.SHAPES])
+    return counts.join(listed, "density").select("density", F.to_json(F.struct("density", "dangers", *e.SHAPES, "flights")).alias("bundle"))
+
+
+# geodesy, simulation, rings
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", (F.lit(6.0) + (key % 100) * 0.06).alias("lon"), (F.lit(45.0) + (key % 37) * 0.25).alias("lat"),
+        ((key * 7) % 360).cast("double").alias("azimuth"), (F.lit(100.0) + (key % 79) * 100.0).alias("metres"))
+
+
+def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(geodesy.utm(_places(spark, sf_dir), "lon", "lat", 32632, "x", "y").select("s_suppkey", "x", "y"), 3)
+
+
+def geodesic_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(geodesy.direct(_places(spark, sf_dir), "lon", "lat", "azimuth", "metres", "lon2", "lat2").select("s_suppkey", "lon2", "lat2"), 9)
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights that leave at the time of each sign-up event, in one region's box."""
+    arrivals = e.events(spark, sf_dir).where("event_type = 'signup'").select(F.lit("sparse").alias("density_level"), F.col("event_id").alias("i"), F.col("t").alias("spawn"))
+    return simulate.flights(arrivals, (41.9, -71.6, 42.7, -70.5))
+
+
+def rejection_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_legs(spark, sf_dir))
+
+
+def track_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simulate.tracks(_legs(spark, sf_dir))
+    return rounded(rows.groupBy("drone_id").agg(F.count(F.lit(1)).alias("seconds"), F.min("timestamp_utc").alias("t0"), F.max("timestamp_utc").alias("t1"), F.max("latitude").alias("north"), F.max("longitude").alias("east")))
+
+
+def poisson_spawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals over the window that the events span."""
+    window = e.events(spark, sf_dir).agg(F.min("t"), F.max("t")).first()
+    return rounded(simulate.spawns(spark, *window))
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles from three components each of the embeddings."""
+    v = F.col("embedding")
+    corner = [F.struct(v[i].cast("double").alias("x"), v[i + 1].cast("double").alias("y")) for i in (0, 2, 4)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array(*corner).alias("ring"))
+
+
+BOX = (-0.1, -0.1, 0.1, 0.1)
+
+
+def bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rings(spark, sf_dir).select("vec_id", geometry.overlaps_box(F.col("ring"), BOX).alias("overlaps"))
+
+
+def clip_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clipped = geometry.clip(_rings(spark, sf_dir), "ring", BOX)
+    area = F.aggregate(F.sequence(F.lit(1), F.size("ring")), F.lit(0.0), lambda a, i: a + F.element_at("ring", i)["x"] * F.element_at("ring", i % F.size("ring") + 1)["y"] - F.element_at("ring", i % F.size("ring") + 1)["x"] * F.element_at("ring", i)["y"])
+    return rounded(clipped.select("vec_id", F.size("ring").alias("corners"), (F.abs(area) / 2).alias("area")))
+
+
+def json_states_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as payloads, one for an hour, and read back by the state source."""
+    from kestrel.sources import states
+    hour = F.date_trunc("hour", F.col("ts"))
+    values: list[Column] = [F.concat(F.lit("u"), F.col("user_id").cast("string")), F.concat(F.col("event_type"), F.lit(" ")), F.lit("Nowhere"), F.floor("t").cast("string"), F.floor("t").cast("string"),
+              (F.col("k") * 0.1).cast("string"), F.col("value").cast("string"), F.lit(None).cast("string"), F.when(F.col("event_type") == "signup", "true").otherwise("false"),
+              F.lit("12.5"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), (F.col("k") * 1.2).cast("string"), F.lit("0743"), F.lit("false"), F.lit("0")]
+    payloads = e.events(spark, sf_dir).groupBy(hour.cast("timestamp").alias("query_timestamp_utc")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.array(*values).alias("s")))).alias("rows"))
+    payloads = payloads.select("query_timestamp_utc", F.to_json(F.struct(F.col("rows.s").alias("states"))).alias("payload"))
+    return rounded(states.clean(states.from_payloads(payloads), "reported").select("query_timestamp_utc", "icao24", "callsign", "time_position", "longitude", "latitude", "on_ground", "geo_altitude", "squawk"))
+
+
+def _region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Volumes()
+    nations = table(spark, sf_dir, "nation")
+    return nations.select("n_nationkey", parsing.slug(F.col("n_name")).alias("slug"), F.lit(v.sphere_m).alias("sphere_m"), F.lit(v.major_m).alias("major_m"), F.lit(v.minor_m).alias("minor_m"))
+
+
+def equal_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_region_table(spark, sf_dir))
+
+
+_QUERIES: list[Query] = [
+    segments_gap_cut, segments_union, bucket_candidates, labels, nearest_by_key, group_size, confusion, roc_table, plot_rows, mcnemar, per_cluster, bootstrap_ci,
+    sensitivity, fanout_danger, dedup_keep_last, dedup_null_passthrough, distinct_keys, airborne_filter, range_overlap, partition_latest, partitions_open,
+    coerce_numeric, bool_parse, trim_variants, list_parse, epoch_forms, left_fill, semi_flag, fanout_left, grain_inner, full_outer, coalesced, group_first_last,
+    collect_points, first_nonblank, quantized, dequant_error, viz_bundle, utm_project, geodesic_direct, rejection_flight, track_gen, poisson_spawn, bbox_overlap,
+    clip_ring, json_states_explode, equal_volumes]
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in _QUERIES} | {f"alerts_{s}": alerts(s) for s in e.SHAPES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
