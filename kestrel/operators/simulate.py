@@ -13,6 +13,10 @@ from kestrel.functions.randoms import between, poisson_count, uniform
 from kestrel.operators.numbering import number_in_order
 
 
+#: Attempts that every flight makes before those without a fit go on.
+FIRST_ATTEMPTS = 8
+
+
 def spawns(spark: SparkSession, t_min: float, t_max: float, f: Flights = Flights()) -> DataFrame:
     """density_level, i, spawn (epoch seconds): arrivals of every density, numbered in time order."""
     parts = []
@@ -38,12 +42,23 @@ def flights(arrivals: DataFrame, box: Box, f: Flights = Flights()) -> DataFrame:
     key = [F.lit(f.seed), F.col("density_level"), F.col("i")]
     drawn = arrivals.withColumns({"speed_mps": between(*f.speed, *key, F.lit("speed")), "raw": between(*f.duration, *key, F.lit("duration")), "altitude_m": between(*f.altitude, *key, F.lit("altitude"))})
     drawn = drawn.withColumn("duration_s", F.least(F.col("raw"), F.lit(f.longest_m) / F.col("speed_mps"))).withColumn("distance", F.col("speed_mps") * F.col("duration_s")).drop("raw")
-    tried = drawn.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(f.starts * f.bearings - 1))))
-    start = F.floor(F.col("attempt") / f.bearings)
-    tried = tried.withColumns({"start_lat": between(south, north, *key, F.lit("lat"), start), "start_lon": between(west, east, *key, F.lit("lon"), start), "bearing": between(0.0, 360.0, *key, F.lit("bearing"), F.col("attempt"))})
-    ended = direct(tried, "start_lon", "start_lat", "bearing", "distance", "end_lon", "end_lat")
-    fits = in_box(F.col("end_lat"), F.col("end_lon"), box)
-    chosen = ended.groupBy(*drawn.columns).agg(F.min_by(F.when(fits, F.struct("start_lat", "start_lon", "bearing")), F.when(fits, F.col("attempt"))).alias("leg"))
+
+    def legs(rows: DataFrame, attempts: range) -> DataFrame:
+        tried = rows.withColumn("attempt", F.explode(F.sequence(F.lit(attempts[0]), F.lit(attempts[-1]))))
+        start = F.floor(F.col("attempt") / f.bearings)
+        tried = tried.withColumns({"start_lat": between(south, north, *key, F.lit("lat"), start), "start_lon": between(west, east, *key, F.lit("lon"), start), "bearing": between(0.0, 360.0, *key, F.lit("bearing"), F.col("attempt"))})
+        ended = direct(tried, "start_lon", "start_lat", "bearing", "distance", "end_lon", "end_lat")
+        fits = in_box(F.col("end_lat"), F.col("end_lon"), box)
+        return ended.groupBy(*rows.columns).agg(F.min_by(F.when(fits, F.struct("start_lat", "start_lon", "bearing")), F.when(fits, F.col("attempt"))).alias("leg"))
+
+    # most flights fit at one of the first attempts; only the others try the rest
+    most = f.starts * f.bearings
+    early = legs(drawn, range(min(FIRST_ATTEMPTS, most)))
+    chosen = early.where("leg IS NOT NULL")
+    if most > FIRST_ATTEMPTS:
+        chosen = chosen.unionByName(legs(early.where("leg IS NULL").drop("leg"), range(FIRST_ATTEMPTS, most)))
+    else:
+        chosen = early
     leg = F.when(F.col("leg").isNull(), F.raise_error(F.lit("no attempt at a flight ends in the box"))).otherwise(F.col("leg"))
     return chosen.withColumn("leg", leg).select(*drawn.columns, "leg.*").withColumn("drone_id", numbered(F.col("density_level"), F.col("i")))
 
