@@ -30,7 +30,7 @@ BITS = 128
 SHINGLE, SHINGLE_WEIGHT = 5, 2
 
 #: Production radius, and the blocks that the bits are cut into.
-RADIUS, BLOCKS = 4, 6
+RADIUS, BLOCKS = 4, 5
 
 
 def votes(terms: np.ndarray) -> tuple[np.ndarray, int]:
