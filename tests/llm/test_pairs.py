@@ -164,6 +164,19 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_that_differ_inside_long_words_stay(spark):
+    r = random.Random(4)
+    digest = lambda: f"{r.getrandbits(128):032x}"
+    same = digest()[:12]
+    lines = ["download the file from https://cdn.example.com/archive/a1 now", "download the file from https://cdn.example.com/mirrors/zz9 now",
+             *[f"the object of this build was stored in the cache as {same}{digest()}" for _ in range(5)],
+             *[f"see /usr/share/doc/{r.choice('abc') * 9}/{digest()} for what the package holds" for _ in range(5)],
+             "Donaudampfschifffahrtsgesellschaft und was dazu gesagt ist", "Donaudampfmaschinenverordnungsblatt und was dazu gesagt ist",
+             " \t" * 12, "\t\t  " * 6]
+    kept = line_dedup.dedup_lines(spark.createDataFrame([*enumerate(lines), (99, lines[0])], "doc_id bigint, text string")).collect()
+    assert {x.doc_id: x.n_dropped for x in kept} == {**dict.fromkeys(range(len(lines)), 0), 99: 1}
+
+
 @pytest.mark.parametrize("sizes", [[3, 2], [1, 5, 9]])
 def test_shared_counts(sizes):
     r = random.Random(2)
