@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.components import components
 from kestrel.llm.tables import read, small
-from kestrel.llm.terms import shingle_hashes, word_hashes
+from kestrel.llm.terms import ODD_2, ODD_3, mix, shingle_hashes, word_hashes
 from kestrel.session import written
 
 WORDS = re.compile(r"\w+")
@@ -66,9 +66,21 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def embedding(shingles: np.ndarray, tokens: int) -> np.ndarray:
-    """The first shingle at or after each of ``tokens`` fixed places of the hash circle."""
-    places = (np.arange(tokens, dtype=np.uint64) * np.uint64((1 << 64) // tokens))
-    return shingles[np.searchsorted(shingles, places) % len(shingles)]
+    """The low halves of the least of ``tokens`` independent hashes of the shingles.
+
+    Each is shared with a chance of the Jaccard and regardless of the others, in
+    sets of any size.
+    """
+    odd = mix(np.arange(tokens, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(tokens, ~np.uint64(0))
+    for at in range(0, len(shingles), 512):
+        x = shingles[at:at + 512, None] * odd
+        x ^= x >> np.uint64(32)
+        x *= ODD_2
+        x ^= x >> np.uint64(29)
+        x *= ODD_3
+        np.minimum(least, x.min(0), out=least)
+    return least.astype(np.uint32)
 
 
 def embedded(docs: DataFrame, j: Join) -> DataFrame:
@@ -82,7 +94,7 @@ def embedded(docs: DataFrame, j: Join) -> DataFrame:
                 s = shingle_set(text, j.shingle)
                 if len(s):
                     a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                    h1.append(a), h2.append(b), sig.append((embedding(s, j.tokens) >> np.uint64(32)).astype(np.uint32).tobytes())
+                    h1.append(a), h2.append(b), sig.append(embedding(s, j.tokens).tobytes())
                 else:
                     h1.append(None), h2.append(None), sig.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "h1", "h2", "sig"])

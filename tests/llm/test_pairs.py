@@ -65,6 +65,19 @@ def test_jaccard_join_of_nothing(spark):
     assert kept.columns == ["doc_id", "text", "n_chars", "class_id"]
 
 
+@pytest.mark.parametrize("union", [10, 15, 20, 30, 40])
+def test_short_texts_at_the_threshold_pass_the_sieve(union):
+    j, r, lost = jaccard_join.Join(), random.Random(union), 0
+    for _ in range(2000):
+        text = [f"w{r.getrandbits(40)}" for _ in range(union * 9 // 10 + 4)]
+        other = text.copy()
+        other[-(union // 10)] = "changed"
+        a, b = (jaccard_join.shingle_set(" ".join(t), 5) for t in (text, other))
+        assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        lost += int((jaccard_join.embedding(a, j.tokens) == jaccard_join.embedding(b, j.tokens)).sum()) < j.agreeing
+    assert lost <= 6  # a binomial's share of 0.0006, and what chance adds
+
+
 def test_runs_follow_the_recall():
     assert jaccard_join.Join(recall=0.999).runs > jaccard_join.Join(recall=0.9).runs >= 1
 
