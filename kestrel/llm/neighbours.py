@@ -239,6 +239,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, g: Graph = Graph()
     usable_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
     if usable_rows.isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    usable_rows = usable_rows.dropDuplicates(["vec_id"])
     index = written(build_index(usable_rows, g), "graph")
     return search(index, usable_rows.where(F.col("vec_id") % every == 0), k, g)
 

@@ -140,6 +140,16 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_repeated_vectors_take_one_rank(spark):
+    v = np.random.default_rng(8).normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    make = lambda x: sorted(tuple(y) for y in neighbours.nearest(spark.createDataFrame(x, "vec_id bigint, embedding array<float>"), g=neighbours.Graph(shard_rows=20)).collect())
+    once = make(rows)
+    assert len(once) == 60 and len({(q, i) for q, _, i, _ in once}) == 60
+    twice = make([*rows, *rows, *rows[:20]])
+    assert len(twice) == 60 and len({(q, i) for q, _, i, _ in twice}) == 60
+
+
 def shingles_of(line):
     low = line.lower()
     at = [low[m.start():m.start() + 9] for m in re.finditer(r"(?<!\S)(?=\S)", low)]
