@@ -200,3 +200,19 @@ def test_pipeline(spark, tmp_path):
         assert kept.columns == columns and 0 < kept.count() <= docs.count(), name
     assert corpus_pipeline.run(spark, source).count() > 0
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "secret scans", "packing"]
+
+
+def test_long_words_have_one_lattice():
+    pieces = sentence_pieces.Pieces(MODEL, 1.0)
+    sp = pieces.model
+    weight = {sp.id_to_piece(i): pieces.weight[i] for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    longest = max(map(len, weight))
+    for word in ("international" * 3, "international" * 400):
+        text = sentence_pieces.SPACE + word
+        log_mass = [0.0] * (len(text) + 1)
+        for i in range(len(text) - 1, -1, -1):
+            log_mass[i] = np.logaddexp.reduce([np.log(weight[text[i:k]]) + log_mass[k] for k in range(i + 1, min(i + longest, len(text)) + 1) if text[i:k] in weight])
+        for ids, log_prob in sentence_pieces.segmentations(word, 1, pieces):
+            spelt = [sp.id_to_piece(i) for i in ids]
+            assert "".join(spelt) == text
+            assert abs(sum(np.log(weight[x]) for x in spelt) - log_mass[0] - log_prob) < 1e-3 * max(1, len(word) / 50)
