@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.tables import read, small
+from kestrel.llm.tables import afterwards, read, small
 from kestrel.llm.word_ids import WordIds
 
 
@@ -153,6 +153,9 @@ def pack(docs: DataFrame, path: str, p: Packing = Packing()) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(path)
+        return afterwards(pieces(batches, words), words.clear)
+
+    def pieces(batches: Iterator[pa.RecordBatch], words: WordIds) -> Iterator[pa.RecordBatch]:
         stream = Stream(TaskContext.get().partitionId(), p)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 

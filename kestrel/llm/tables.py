@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def afterwards(rows: Iterator, drop: Callable[[], None]) -> Iterator:
+    """The same rows; at the task's end caches are dropped, as a worker may idle for long and serve other operators."""
+    try:
+        yield from rows
+    finally:
+        drop()
+
+
 def small(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes, so that Python objects stay few."""
     for batch in batches:
