@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by a robust-pruned directed graph for each shard.
 
-Vectors are dealt to shards by a hash of their id. A shard's graph starts from
-random edges; batches of vectors are then searched for greedily, and the
+Vectors are dealt to shards by their length, and in a shard to bands of nearly
+one length, since among such vectors the largest inner product is the nearest
+direction. A band's graph starts from random edges; batches of vectors are then searched for greedily, and the
 vectors met on the way become neighbours after robust pruning with a relaxed
 distance, which keeps edges short and diverse. Edges are added backwards too
-and pruned again. A query runs a beam search in every shard; the best of all
-shards are scored anew in double precision and merged.
+and pruned again. A query runs a beam search in every band of every shard; what
+it finds is scored in double precision on the original vectors and merged.
 
 Inner products are searched as distances after the usual lift: vectors get a
-further component that brings all of a shard to one length.
+further component that brings all of a band to one length.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.llm.tables import read
@@ -30,9 +30,10 @@ from kestrel.session import written
 
 @dataclass(frozen=True)
 class Graph:
-    """Parameters: rows of a shard, edges of a node, beam of build and search, pruning factor."""
+    """Parameters: rows of a shard, greatest ratio of lengths in a band, edges of a node, beam of build and search, pruning factor."""
 
     shard_rows: int = 8192
+    band: float = 1.1
     degree: int = 28
     build_beam: int = 40
     search_beam: int = 192
@@ -159,34 +160,91 @@ def lifted(v: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([v, gap[:, None]]).astype(np.float32)
 
 
+class Shard:
+    """The graphs of a shard's bands, over its distinct vectors; each knows the ids that share it.
+
+    Copies share a node, so that they don't fill each other's edges.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, g: Graph):
+        order = np.lexsort((ids, *vectors.T[::-1]))
+        ids, vectors = ids[order], vectors[order]
+        new = np.append(True, (vectors[1:] != vectors[:-1]).any(1))
+        self.ids, self.begin, nodes = ids, np.append(np.flatnonzero(new), len(ids)), vectors[new]
+        single = nodes.astype(np.float32)
+        self.nodes = single if (single == nodes).all() else nodes  # as given: scores are made from these
+        unit = nodes / np.abs(nodes).max()
+        length = np.sqrt(np.square(unit).sum(1))
+        by_length, at = np.argsort(length, kind="stable"), 0
+        self.bands = []
+        while at < len(nodes):
+            end = np.searchsorted(length[by_length], length[by_length[at]] * g.band, side="right")
+            own, at = by_length[at:end], end
+            x = lifted(unit[own] / length[own].max(), 1.0)
+            edges, starts = build(x, g)
+            self.bands.append((own, x, edges.astype(np.int32), starts))
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, g: Graph) -> list[tuple[int, int, float]]:
+        """(query id, id, score) of the ``k`` best found for each query."""
+        unit = q / np.abs(q).max(1, keepdims=True)
+        unit = np.hstack([unit / np.sqrt(np.square(unit).sum(1, keepdims=True)), np.zeros((len(q), 1))]).astype(np.float32)
+        beam, met = max(g.search_beam, 2 * k), []
+        for own, x, edges, starts in self.bands:
+            found, _ = beam_search(x, edges.astype(np.int64), starts[:beam], unit, beam)
+            met.append(np.where(found >= 0, own[np.maximum(found, 0)], -1))
+        out = []
+        for i, nodes in enumerate(np.concatenate(met, 1)):
+            nodes = nodes[nodes >= 0]
+            scores = (self.nodes[nodes] * q[i]).sum(1)  # row by row alike, so that copies in two shards tie
+            best = np.argsort(-scores, kind="stable")[:k + 1]
+            # nodes of one score are taken whole, so that ties go by id
+            best = np.flatnonzero(scores >= scores[best[-1]])
+            rest = [(-s, int(v)) for s, node in zip(scores[best], nodes[best], strict=True) for v in self.ids[self.begin[node]:min(self.begin[node + 1], self.begin[node] + k + 1)] if v != q_ids[i]]
+            out += [(int(q_ids[i]), v, -s) for s, v in sorted(rest)[:k]]
+        return out
+
+
 def usable(column: str) -> Column:
     """A vector of finite components that are not all zero."""
     v = F.col(column)
     return v.isNotNull() & F.forall(v, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists(v, lambda a: a != 0)
 
 
-def build_index(vectors: DataFrame, g: Graph = Graph()) -> DataFrame:
-    """One row for each shard: its number and its graph, pickled.
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of doubles."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1)
 
-    Equal vectors of a shard share a node that lists their ids, so that copies
-    don't fill each other's edges.
-    """
-    spark = vectors.sparkSession
+
+def dealt(vectors: DataFrame, shards: int) -> DataFrame:
+    """``vectors`` with ``shard``: shares of the order by length; a length that fills several shares is spread over them by hash."""
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: F.hypot(a, x))
+    rows = vectors.select("vec_id", "embedding", length.alias("length"))
+    if shards == 1:
+        return rows.withColumn("shard", F.lit(0))
+    cuts = rows.agg(F.percentile_approx("length", [i / shards for i in range(1, shards)], 100 * shards)).first()[0]
+    values, steps = np.unique(np.array(cuts), return_counts=True)
+    shared = vectors.sparkSession.sparkContext.broadcast((np.append(values, np.inf), np.append(steps, 0), np.append(0, np.cumsum(steps))))
+
+    @F.pandas_udf("int")
+    def share(lengths: pd.Series, hashes: pd.Series) -> pd.Series:
+        values, steps, before = shared.value
+        at = np.searchsorted(values, lengths.to_numpy())
+        spread = np.where(values[at] == lengths, hashes.to_numpy() % (steps[at] + 1), 0)
+        return pd.Series(before[at] + spread)
+
+    return rows.withColumn("shard", share("length", F.xxhash64("vec_id")))
+
+
+def build_index(vectors: DataFrame, g: Graph = Graph()) -> DataFrame:
+    """One row for each shard: its number and its graphs, pickled."""
     shards = max(1, -(-vectors.count() // g.shard_rows))
 
-    def made(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(frame["embedding"].to_numpy()).astype(np.float32)
-        nodes, which = np.unique(v, axis=0, return_inverse=True)
-        which = which.ravel()
-        order = np.lexsort((frame["vec_id"].to_numpy(), which))
-        x = lifted(nodes, float(np.sqrt(np.square(nodes).sum(1, dtype=np.float64).max())))
-        edges, starts = build(x, g)
-        graph = {"x": x, "edges": edges.astype(np.int32), "starts": starts, "ids": frame["vec_id"].to_numpy()[order], "begin": np.searchsorted(which[order], np.arange(len(nodes) + 1))}
-        return pd.DataFrame({"shard": [key[0]], "graph": [pickle.dumps(graph, protocol=5)]})
+    def made(key: tuple, rows: pa.Table) -> pa.Table:
+        shard = Shard(rows.column("vec_id").to_numpy(), matrix(rows.column("embedding").combine_chunks()), g)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "graph": pa.array([pickle.dumps(shard, protocol=5)], pa.binary())})
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    spread = dealt.repartition(shards, "shard") if shards > 1 else dealt
-    return spread.groupBy("shard").applyInPandas(made, "shard int, graph binary")
+    return dealt(vectors, shards).select("shard", "vec_id", "embedding").groupBy("shard").applyInArrow(made, "shard int, graph binary")
 
 
 RESULT = "query_id long, vec_id long, score double"
@@ -195,34 +253,30 @@ RESULT = "query_id long, vec_id long, score double"
 def search(index: DataFrame, queries: DataFrame, k: int, g: Graph = Graph()) -> DataFrame:
     """The ``k`` best of all shards for each query: query_id, rank, vec_id, score.
 
-    Queries travel in blocks; every block meets every shard once.
+    Queries travel in blocks to every shard. A task reads a shard's graphs once,
+    before the blocks that it is to answer.
     """
-    spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // g.block))
-    shards = [r.shard for r in index.select("shard").collect()]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    pairs = packed.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]))).join(index, "shard").select("graph", "queries")
+    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("parts"))
+    shards = 1 + (index.agg(F.max("shard")).first()[0] or 0)
+    jobs = packed.select("ids", "parts", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    rows = index.select("shard", F.lit(0).alias("kind"), "graph", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<double>").alias("parts"))
+    rows = rows.unionByName(jobs.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("graph"), "ids", "parts"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = -1, None
         for batch in batches:
-            for blob, rows in zip(batch.column(0), batch.column(1), strict=True):
-                graph = pickle.loads(blob.as_py())
-                rows = rows.as_py()
-                q_ids = np.array([r["vec_id"] for r in rows], np.int64)
-                q = np.array([r["embedding"] for r in rows], np.float32)
-                x, ids, begin = graph["x"], graph["ids"], graph["begin"]
-                met, _ = beam_search(x, graph["edges"].astype(np.int64), graph["starts"], np.hstack([q, np.zeros((len(q), 1), np.float32)]), max(g.search_beam, 2 * k))
-                out = []
-                for i in range(len(q)):
-                    nodes = met[i][met[i] >= 0]
-                    scores = x[nodes, :-1].astype(np.float64) @ q[i].astype(np.float64)
-                    best = np.argsort(-scores, kind="stable")
-                    rest = [(-s, int(v)) for s, node in zip(scores[best][:k + 1], nodes[best][:k + 1], strict=True) for v in ids[begin[node]:min(begin[node + 1], begin[node] + k + 1)] if v != q_ids[i]]
-                    out += [(int(q_ids[i]), v, -s) for s, v in sorted(rest)[:k]]
+            for own, kind, graph, ids, parts in zip(*batch.columns, strict=True):
+                if not kind.as_py():
+                    number, shard = own.as_py(), pickle.loads(graph.as_py())
+                    continue
+                if own.as_py() != number:  # a shard that no vector fell to
+                    continue
+                q_ids = ids.values.to_numpy()
+                out = shard.search(q_ids, parts.values.to_numpy().reshape(len(q_ids), -1), k, g)
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["query_id", "vec_id", "score"])
 
-    best = pairs.repartition(max(parts, min(len(shards) * blocks, 4 * parts))).mapInArrow(found, RESULT)
+    best = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(found, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -234,9 +288,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, g: Graph = Graph()
     Candidates are all rows but the query's own; equal scores go to the smaller
     vec_id. Vectors that are null, zero or hold a null or non-finite component,
     and rows without vec_id, take no part. Where a vec_id repeats, its rows must
-    be of one vector; one of them is kept. A table without usable rows gives no rows.
+    be of one vector; one of them is kept. All vectors must be of one dimension.
+    Scores are inner products of the vectors as given, in double precision. A
+    table without usable rows gives no rows.
     """
-    usable_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
+    usable_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
     if usable_rows.isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable_rows = usable_rows.dropDuplicates(["vec_id"])
