@@ -2,36 +2,38 @@
 
 One view is the text's content: hashed word shapes, hashed words, repetition.
 The other is what is known of the page: language, source, sizes and layout.
-Each view has a logistic model. Over some rounds each labels the documents of
-an unlabelled pool that it is surest of, for the other to learn from. Both are
+Each view has a logistic model. Over some rounds each labels those of all
+unlabelled documents that it is surest of, for the other to learn from. Both are
 then calibrated on held-out labels and combined to score every document.
 
-The models are fitted on bounded samples, drawn by a hash of doc_id; scoring
-covers all documents.
+Features are computed once and written; every round scores all documents from
+them, and only the few that it picks go to the models. The labelled rows are a
+bounded sample, drawn by a hash of doc_id.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.tables import read, small
+from kestrel.llm.tables import afterwards, read, small
+from kestrel.session import written
 
 
 @dataclass(frozen=True)
 class CoTraining:
-    """Parameters: bounds of the samples, rounds, pseudo-labels of a round, and the least score that is kept."""
+    """Parameters: bound of the labelled sample, rounds, pseudo-labels of a view in a round, their least
+    certainty, the models' penalty, and the least score that is kept."""
 
     labelled: int = 6_000
-    pool: int = 4_000
     rounds: int = 4
     per_round: int = 200
     sure: float = 0.97
@@ -52,7 +54,7 @@ class _Slots(dict):
     """Shape and word slots of a word, remembered up to a bound."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        shape = word[:64]
+        shape = word
         for pattern, letter in _SHAPES:
             shape = pattern.sub(letter, shape)
         made = (xxhash.xxh32_intdigest(shape) % SHAPES, SHAPES + xxhash.xxh32_intdigest(word.lower()) % WORDS)
@@ -102,12 +104,33 @@ def with_views(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text)
 
 
+VIEWS = "doc_id long, t1 long, t2 long, content binary, page binary"
+
+
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return afterwards(_made(batches), _slots.clear)
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        _, text, lang, source = (c.to_pylist() for c in batch.columns)
+        doc_id, text, lang, source, t1, t2 = batch.columns
+        text, lang, source = text.to_pylist(), lang.to_pylist(), source.to_pylist()
         content = [content_view(t).astype(np.float32).tobytes() for t in text]
         page = [page_view(*x).astype(np.float32).tobytes() for x in zip(text, lang, source, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content), pa.array(page)], ["doc_id", "content", "page"])
+        yield pa.RecordBatch.from_arrays([doc_id, t1, t2, pa.array(content, pa.binary()), pa.array(page, pa.binary())], [c.split()[0] for c in VIEWS.split(", ")])
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, both views, and a 128-bit name (t1, t2) of what they are made of, for every row of ``docs``; written."""
+    rows = with_views(docs)
+    own = ("text", "lang", "source")
+    rows = rows.select("doc_id", *own, F.xxhash64(*own).alias("t1"), F.xxhash64(F.lit(1), *own).alias("t2"))
+    return written(rows.mapInArrow(_views, VIEWS), "views")
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    """Rows of packed floats."""
+    return np.array([np.frombuffer(x.as_buffer(), np.float32) for x in column], np.float64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -132,10 +155,59 @@ def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], p: CoTraining) -> dict:
+def surest(features: DataFrame, weights: list[np.ndarray], used: set[tuple[int, int]], p: CoTraining, shares: tuple[float, float]) -> list[list[tuple]]:
+    """Of all rows of ``features``: for each view and label, the (t1, t2, content, page) that the view is surest of.
+
+    Equal documents count once. Each partition hands on as many as a round may
+    take, so the driver sees a bounded number.
+    """
+    shared = features.sparkSession.sparkContext.broadcast((weights, used))
+    most = [[max(1, round(p.per_round * share)) for share in shares] for _ in weights]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, taken = shared.value
+        heaps: list[list[list[tuple]]] = [[[], []] for _ in models]
+        held: dict[tuple, None] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for view, (w, column) in enumerate(zip(models, (2, 3), strict=True)):
+                sure = sigmoid(logit(unpacked(batch.column(column)), w))
+                for label, certain in ((1, sure), (0, 1 - sure)):
+                    heap, room = heaps[view][label], most[view][label]
+                    for i in np.lexsort((t2, t1, -certain)):
+                        entry = (float(certain[i]), int(t1[i]), int(t2[i]))
+                        if certain[i] < p.sure or (len(heap) >= room and entry[0] < heap[-1][0]):
+                            break
+                        if entry[1:] not in taken and not any(e[1:3] == entry[1:] for e in heap):
+                            heap.append((*entry, batch.column(2)[i].as_py(), batch.column(3)[i].as_py()))
+                    heap.sort(key=lambda e: (-e[0], e[1:3]))
+                    del heap[room:]
+        out = [(view, label, *e) for view, labels in enumerate(heaps) for label, heap in enumerate(labels) for e in heap]
+        yield pa.RecordBatch.from_pylist([dict(zip(("view", "label", "certain", "t1", "t2", "content", "page"), e, strict=True)) for e in out], SUREST)
+
+    rows = features.select("t1", "t2", "content", "page").mapInArrow(best, "view int, label int, certain double, t1 long, t2 long, content binary, page binary").dropDuplicates(["view", "label", "t1", "t2"])
+    found = []
+    for view in range(len(weights)):
+        for label in (0, 1):
+            top = rows.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("certain"), "t1", "t2").limit(most[view][label])
+            found.append(top)
+    out: list[list[tuple]] = [[] for _ in range(4)]
+    for r in reduce(DataFrame.union, found).collect():
+        out[2 * r.view + r.label].append(((r.t1, r.t2), r.content, r.page))
+    return out
+
+
+SUREST = pa.schema([("view", pa.int32()), ("label", pa.int32()), ("certain", pa.float64()), ("t1", pa.int64()), ("t2", pa.int64()), ("content", pa.binary()), ("page", pa.binary())])
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, pool: Callable[[list[np.ndarray], set, tuple[float, float]], list[list[tuple]]], p: CoTraining, names: set[tuple[int, int]] = frozenset()) -> dict:
     """Weights of both views, and those that combine their calibrated logits.
 
-    Every fifth labelled row is held out for calibration.
+    Every fifth labelled row is held out for calibration. ``pool`` gives the
+    unlabelled documents that views with some weights are surest of; ``names`` are
+    those that have labels.
     """
     held = np.arange(len(y)) % 5 == 0
     if min(y[held].sum(), (1 - y[held]).sum()) < 2:
@@ -143,18 +215,17 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], p:
     fit = ~held
     own = [[v[fit]] for v in views]
     target = [[y[fit]], [y[fit]]]
-    free = np.ones(len(pool[0]), bool)
+    used = set(names)
     weights = [logistic(v[fit], y[fit], p.ridge) for v in views]
     for _ in range(p.rounds):
+        found = pool(weights, used, (1 - y.mean(), y.mean()))
         for view, other in ((0, 1), (1, 0)):
-            sure = sigmoid(logit(pool[view], weights[view]))
-            for label, certain in ((1.0, sure), (0.0, 1 - sure)):
-                share = y.mean() if label else 1 - y.mean()
-                order = np.argsort(-np.where(free, certain, -1), kind="stable")[:max(1, round(p.per_round * share))]
-                order = order[free[order] & (certain[order] >= p.sure)]
-                free[order] = False
-                own[other].append(pool[other][order])
-                target[other].append(np.full(len(order), label))
+            for label in (0, 1):
+                new = [x for x in found[2 * view + label] if x[0] not in used]
+                used.update(x[0] for x in new)
+                if new:
+                    own[other].append(np.array([np.frombuffer(x[1 + other], np.float32) for x in new], np.float64))
+                    target[other].append(np.full(len(new), float(label)))
         weights = [logistic(np.concatenate(own[i]), np.concatenate(target[i]), p.ridge) for i in (0, 1)]
     rows = held if held.any() else fit
     calibrated = [logistic(logit(v[rows], w)[:, None], y[rows], 0.01) for v, w in zip(views, weights, strict=True)]
@@ -168,65 +239,61 @@ def combine(model: dict, views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return sigmoid(logit(both, model["combined"])), sigmoid(both[:, 0]), sigmoid(both[:, 1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> dict | None:
-    """The fitted model, or None where the labels lack a class."""
-    docs = with_views(docs)
+def fit(features: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> dict | None:
+    """The model fitted to ``features`` (of ``featured``) and ``labels``, or None where the labels lack a class."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.labelled)
-    pool = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(p.pool).distinct()
-    sample = chosen.join(pool.withColumn("pooled", F.lit(True)), "doc_id", "full")
-    rows = docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").mapInArrow(_views, "doc_id long, content binary, page binary").join(F.broadcast(sample), "doc_id")
-    found = rows.toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    if not len(found):
-        return None
-    views = [np.stack([np.frombuffer(b, np.float32) for b in found[c]]).astype(np.float64) for c in ("content", "page")]
-    known = found["quality"].notna().to_numpy()
-    y = (found["quality"].to_numpy()[known] > 0.5).astype(np.float64)
+    rows = features.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("quality", "t1", "t2", "content", "page"), F.struct("t1", "t2")).alias("r"))
+    found = rows.select("doc_id", "r.*").toPandas().sort_values("doc_id", kind="stable")
+    y = (found["quality"].to_numpy() > 0.5).astype(np.float64)
     if len(set(y)) < 2:
         return None
-    return co_train([v[known] for v in views], y, [v[~known] for v in views], p)
+    views = [np.stack([np.frombuffer(b, np.float32) for b in found[c]]).astype(np.float64) for c in ("content", "page")]
+    names = set(zip(found["t1"].tolist(), found["t2"].tolist(), strict=True))
+    return co_train(views, y, lambda weights, used, shares: surest(features, weights, used, p, shares), p, names)
 
 
-def score(docs: DataFrame, model: dict | None, p: CoTraining = CoTraining()) -> DataFrame:
-    """doc_id, score, content_score, page_score, keep for every row of ``docs``."""
-    schema = "doc_id long, score double, content_score double, page_score double"
+def score(features: DataFrame, model: dict | None, p: CoTraining = CoTraining()) -> DataFrame:
+    """doc_id, t1, t2, score, content_score, page_score, keep for every row of ``features``."""
+    schema = "doc_id long, t1 long, t2 long, score double, content_score double, page_score double"
     if model is None:
-        scored = with_views(docs).select("doc_id", *[F.lit(1.0).alias(c) for c in ("score", "content_score", "page_score")])
-        return scored.withColumn("keep", F.lit(True))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        ones = [F.lit(1.0).alias(c) for c in ("score", "content_score", "page_score")]
+        return features.select("doc_id", "t1", "t2", *ones, F.lit(True).alias("keep"))
+    shared = features.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            _, text, lang, source = (c.to_pylist() for c in batch.columns)
-            views = [np.array([content_view(t) for t in text]), np.array([page_view(*x) for x in zip(text, lang, source, strict=True)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, combine(shared.value, views))], [c.split()[0] for c in schema.split(", ")])
+        for batch in batches:
+            views = [unpacked(batch.column(3)).reshape(batch.num_rows, CONTENT), unpacked(batch.column(4)).reshape(batch.num_rows, PAGE)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, combine(shared.value, views))], [c.split()[0] for c in schema.split(", ")])
 
-    return with_views(docs).mapInArrow(scored, schema).withColumn("keep", F.col("score") >= p.keep)
+    return features.mapInArrow(scored, schema).withColumn("keep", F.col("score") >= p.keep)
 
 
-def accepted(docs: DataFrame, model: dict | None, p: CoTraining = CoTraining()) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model scores ``p.keep`` at least."""
-    if model is None:
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def accepted(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> DataFrame:
+    """The rows of ``docs``, all columns, that a model fitted to ``labels`` scores ``p.keep`` at least.
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
-        views = [np.array([content_view(t) for t in text]).reshape(len(text), CONTENT), np.array([page_view(*x) for x in zip(text, lang, source, strict=True)]).reshape(len(text), PAGE)]
-        return pd.Series(combine(shared.value, views)[0] >= p.keep)
-
-    return docs.where(good(*[F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("text", "lang", "source")]))
+    Rows are known by what they are scored from, not by doc_id, which may be null or repeated.
+    """
+    features = featured(docs)
+    rejected = score(features, fit(features, labels, p), p).where("NOT keep").select("t1", "t2").distinct()
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("text", "lang", "source")]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*own).alias("t1"), F.xxhash64(F.lit(1), *own).alias("t2"))
+    return rows.join(rejected, ["t1", "t2"], "left_anti").select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> DataFrame:
-    """Scores of all rows of ``docs`` by a model fitted to ``labels``.
+    """doc_id, score, content_score, page_score, keep for all rows of ``docs``, by a model fitted to ``labels``.
 
     ``docs`` needs ``doc_id`` and ``text``, and uses ``lang`` and ``source``
-    where it has them; ``labels`` needs ``doc_id`` and ``quality`` (1 good, 0
-    bad). Nulls count as empty texts; of repeated labels the greater counts.
-    Without labels of both classes every document scores 1.
+    where it has them; other columns are not read. ``labels`` needs ``doc_id`` and
+    ``quality`` (1 good, 0 bad). Nulls count as empty texts; texts of any length
+    are read whole. Of repeated labels the greater counts; where a labelled doc_id
+    has several texts, one of them is learnt from, by a hash. Ties between equally
+    sure documents go by a hash of their content. Equal rows score alike. Without
+    labels of both classes every document scores 1.
     """
-    return score(docs, fit(docs, labels, p), p)
+    features = featured(docs)
+    return score(features, fit(features, labels, p), p).drop("t1", "t2")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
