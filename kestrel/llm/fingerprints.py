@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.tables import read, small
-from kestrel.llm.terms import mix, shingle_hashes, word_hashes
+from kestrel.llm.tables import afterwards, read, small
+from kestrel.llm.terms import forget, mix, shingle_hashes, word_hashes
 from kestrel.session import written
 
 BITS = 128
@@ -29,6 +29,9 @@ BITS = 128
 #: Words of a shingle; votes of a shingle against one of a word.
 SHINGLE, SHINGLE_WEIGHT = 5, 2
 
+#: Stands for a missing doc_id in the order.
+NAMELESS = -(1 << 63)
+
 #: Production radius, and the blocks that the bits are cut into.
 RADIUS, BLOCKS = 4, 5
 
@@ -131,14 +134,14 @@ def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFram
     text counts as empty; an empty text has the fingerprint of zeros. The edited
     text has the last floor(n_chars / 4) code points replaced by the first as
     many of the next document by doc_id; the first follows the last. Rows with
-    one doc_id are taken in the order of their texts. A row without doc_id has no
-    place in the order and is left out.
+    one doc_id are taken in the order of their texts; rows without doc_id come
+    before all others.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(NAMELESS)))
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if docs.select("doc_id").isEmpty():
+    if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    return in_order(docs, parts).mapInArrow(_fingerprinted, SCHEMA)
+    return in_order(docs, parts).mapInArrow(lambda batches: afterwards(_fingerprinted(batches), forget), SCHEMA).withColumn("doc_id", F.nullif("doc_id", F.lit(NAMELESS)))
 
 
 def _masks(blocks: int, agree: int) -> list[tuple[int, int, list[int]]]:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm.components import components
-from kestrel.llm.tables import read, small
-from kestrel.llm.terms import ODD_2, ODD_3, mix, shingle_hashes, word_hashes
+from kestrel.llm.tables import afterwards, read, small
+from kestrel.llm.terms import ODD_2, ODD_3, forget, mix, shingle_hashes, word_hashes
 from kestrel.session import written
 
 WORDS = re.compile(r"\w+")
@@ -65,6 +65,11 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(WORDS.findall((text or "").lower())), size))
 
 
+def named(shingles: np.ndarray) -> tuple[int, int]:
+    """The set's 128-bit name."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist())
+
+
 def embedding(shingles: np.ndarray, tokens: int) -> np.ndarray:
     """The low halves of the least of ``tokens`` independent hashes of the shingles.
 
@@ -93,13 +98,13 @@ def embedded(docs: DataFrame, j: Join) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, j.shingle)
                 if len(s):
-                    a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+                    a, b = named(s)
                     h1.append(a), h2.append(b), sig.append(embedding(s, j.tokens).tobytes())
                 else:
                     h1.append(None), h2.append(None), sig.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "h1", "h2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: afterwards(made(batches), forget), schema)
 
 
 def split(rows: DataFrame, j: Join, level: int) -> DataFrame:
@@ -205,9 +210,13 @@ def verified(members: DataFrame, j: Join) -> DataFrame:
             if len(rows) < 2:
                 continue
             _, a, b = rows[0][:3]
+            # of an id's several texts the one that the set is of, and of repeated rows one
+            made = {r[4]: (r, s) for r in rows for s in [shingle_set(r[6], j.shingle)] if named(s) == r[7:9]}
+            if len(made) < 2:
+                continue
+            rows, sets = [r for r, _ in made.values()], [s for _, s in made.values()]
             own, ids = np.array([r[3] for r in rows]), [r[4] for r in rows]
             copies = np.array([r[5] for r in rows], np.int64)
-            sets = [shingle_set(r[6], j.shingle) for r in rows]
             sizes = np.array([len(s) for s in sets], np.float64)
             shared = shared_counts(sets)
             near = shared >= j.threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
@@ -220,7 +229,7 @@ def verified(members: DataFrame, j: Join) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["x", "y", "links"])
 
-    return in_blocks(members, "component", j).select("component", "a", "b", "own", "rep", "copies", "text").mapInArrow(compared, schema)
+    return in_blocks(members, "component", j).select("component", "a", "b", "own", "rep", "copies", "text", "h1", "h2").mapInArrow(lambda batches: afterwards(compared(batches), forget), schema)
 
 
 def near_duplicates(docs: DataFrame, j: Join = Join()) -> DataFrame:
@@ -229,33 +238,41 @@ def near_duplicates(docs: DataFrame, j: Join = Join()) -> DataFrame:
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. n_links
     counts the other documents whose shingle sets have a Jaccard of at least the
     threshold; a class is what such links connect, named by its least doc_id.
-    Equal sets are joined once and counted as often as they occur. Null and empty
-    texts, and texts without any word, are like nothing: class of their own, no
-    links. doc_id must be unique and not null.
+    Equal sets are joined once and counted as often as they occur, in repeated
+    rows too. Null and empty texts, texts without any word, and rows without
+    doc_id are like nothing: class of their own, no links. A doc_id's several
+    texts are documents each, under one name.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(embedded(docs, j), "sets")
     reps = written(
-        sets.where("h1 IS NOT NULL").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "reps")
+        sets.where("h1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).withColumn("rep", F.monotonically_increasing_id()), "reps")
     grouped = components(candidate_edges(leaves(reps, j), j))
     grouped = grouped.withColumnRenamed("node", "rep")
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = grouped.join(sizes, "component").join(reps.select("rep", "copies"), "rep")
-    members = members.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    members = grouped.join(sizes, "component").join(reps.select("rep", "first", "copies", "h1", "h2"), "rep")
+    members = members.join(docs.select(F.col("doc_id").alias("first"), "text"), "first")
     links = written(verified(members, j), "links")
     classes = components(links.where("y IS NOT NULL").select("x", "y")).select(F.col("node").alias("rep"), "component")
     counts = links.where("links IS NOT NULL").groupBy(F.col("x").alias("rep")).agg(F.sum("links").alias("links"))
-    known = reps.select("h1", "h2", "rep", "copies").join(classes, "rep", "left").join(counts, "rep", "left").select(
-        "h1", "h2", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sets.select("doc_id", "h1", "h2").join(known, ["h1", "h2"], "left").select(
+    names = classes.join(reps.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("name"))
+    classes = classes.join(names, "component").select("rep", "name")
+    known = reps.select("h1", "h2", "rep", "first", "copies").join(classes, "rep", "left").join(counts, "rep", "left").select(
+        "h1", "h2", F.coalesce("name", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = F.when(F.col("doc_id").isNotNull(), F.col("h1")).alias("h1")
+    return sets.select("doc_id", found, "h2").join(known, ["h1", "h2"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, j: Join = Join()) -> DataFrame:
-    """``docs`` with the document of least doc_id of each class."""
-    gone = near_duplicates(docs, j).where("class_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with the document of least doc_id of each class.
+
+    Of rows that share a doc_id one stays, if any does; rows without one all stay.
+    """
+    gone = near_duplicates(docs, j).where("class_id <> doc_id").select("doc_id").distinct()
+    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
