@@ -56,13 +56,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` gives ``a.b.c``, ``b.c``, ``c``; the empty host only itself."""
-    labels = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+def host_suffixes(host: Column, labels: list[int]) -> Column:
+    """``a.b.c`` gives ``c``, ``b.c``, ``a.b.c``, of as many labels as rules have; no other number can fit."""
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    wanted = F.filter(F.array(*[F.lit(n) for n in labels]), lambda n: n <= dots + 1)
+    return F.transform(wanted, lambda n: F.call_function("substring_index", host, F.lit("."), -n))
 
 
 def path_prefixes(path: Column, lengths: list[int]) -> Column:
@@ -100,7 +98,7 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = DEFAULT_VERDICT) -
     """
     spark, rules = pages.sparkSession, list(rules)
     urls = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    lengths = sorted({len(r.path) for r in rules})
+    lengths, labels = sorted({len(r.path) for r in rules}), sorted({r.host.count(".") + 1 for r in rules})
     if not lengths:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     table = rule_table(spark, rules)
@@ -108,7 +106,7 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = DEFAULT_VERDICT) -
         table = F.broadcast(table)
     expanded = (
         urls.select("host", "path").distinct()
-        .select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
+        .select("host", "path", F.explode(host_suffixes(F.col("host"), labels)).alias("suffix"))
         .select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"), lengths)).alias("start"))
         .withColumn("full", expression(F.col("suffix"), F.col("start")))
         .select("host", "path", "full", F.substring("full", 1, PREFIX_DIGITS).alias("prefix"))
