@@ -2,8 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import random
-import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,6 +60,16 @@ def test_jaccard_join(spark):
     assert got == {d: (names[d], len(links[d])) for d in sets}
 
 
+def test_jaccard_join_of_repeated_rows(spark):
+    a, b, near = words(60, 1), words(60, 2), " ".join([*words(60, 1).split()[:-1], "changed"])
+    rows = [(5, a), (5, a), (5, b), (7, near), (None, a), (None, None), (9, b), (9, b)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jaccard_join.near_duplicates(frame).collect())
+    assert got == sorted([("5", "5", 2), ("5", "5", 2), ("5", "5", 2), ("7", "5", 2), ("None", "None", 0), ("None", "None", 0), ("9", "5", 2), ("9", "5", 2)])
+    kept = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(frame).collect()]
+    assert sorted(str(d) for d, _ in kept) == ["5", "None", "None"] and kept.count((None, a)) == 1
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     kept = jaccard_join.one_of_each(spark.createDataFrame(corpus(), DOCS))
@@ -103,7 +114,7 @@ def test_repeated_ids_and_one_document(spark):
     one = fingerprints.fingerprint_documents(spark.createDataFrame([(1, "abcd efgh", 0, "")], DOCS), 2).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     twice = fingerprints.fingerprint_documents(spark.createDataFrame([(1, "abcd", 0, ""), (1, "abcd", 0, ""), (None, "x", 0, "")], DOCS), 2).collect()
-    assert len(twice) == 2
+    assert sorted(str(x.doc_id) for x in twice) == ["1", "1", "None"]
 
 
 def test_block_tables_find_all_pairs(spark):
@@ -140,6 +151,28 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.3])
+def test_neighbours_of_uneven_vectors_in_full_shards(spread):
+    r, g = np.random.default_rng(11), neighbours.Graph()
+    v = r.normal(size=(g.shard_rows, 64)) * np.exp(r.normal(size=(g.shard_rows, 1)) * spread)
+    shard = neighbours.Shard(np.arange(len(v)), v, g)
+    queries = np.arange(0, len(v), 80)
+    met = {}
+    for q, i, s in shard.search(queries, v[queries], 20, g):
+        met.setdefault(q, set()).add(i)
+        assert math.isclose(s, v[i] @ v[q], rel_tol=1e-9, abs_tol=1e-9)
+    scores = v[queries] @ v.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    true = np.argsort(-scores, 1)[:, :20]
+    assert np.mean([len(met[q] & set(t.tolist())) / 20 for q, t in zip(queries, true, strict=True)]) >= 0.9
+
+
+def test_scores_of_doubles_are_exact(spark):
+    v = np.random.default_rng(2).normal(size=(40, 6)) * 1e150
+    got = neighbours.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")).collect()
+    assert len(got) == 40 and all(math.isclose(r.score, v[r.query_id] @ v[r.vec_id], rel_tol=1e-12) for r in got)
+
+
 def test_repeated_vectors_take_one_rank(spark):
     v = np.random.default_rng(8).normal(size=(60, 8)).astype(np.float32)
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
@@ -151,42 +184,90 @@ def test_repeated_vectors_take_one_rank(spark):
 
 
 def shingles_of(line):
-    low = line.lower()
-    at = [low[m.start():m.start() + 9] for m in re.finditer(r"(?<!\S)(?=\S)", low)]
-    return frozenset(at) if len(line) <= 12 * len(at) else frozenset([low[i:i + 9] for i in range(len(low) - 8)] + [low[:9]])
+    low = line.lower().encode("utf-16-be")
+    return frozenset(low[i:i + 18] for i in range(0, max(len(low) - 17, 1), 2))
+
+
+def alike(a, b):
+    s, z = shingles_of(a), shingles_of(b)
+    return a == b or (min(len(a), len(b)) >= 20 and len(s & z) >= 0.8 * len(s | z) - 1e-9)
+
+
+def deduplicated(docs):
+    """(doc_id, text) pairs without repeated lines, by brute force; doc_ids are distinct."""
+    places = {}
+    for i, t in docs:
+        for p, line in enumerate((t or "").split("\n")):
+            if line.strip(" "):
+                places.setdefault(line, []).append((i, p))
+    group = {x: x for x in places}
+    near = [(a, b) for a, b in itertools.combinations(places, 2) if alike(a, b)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in near:
+            least = min(group[a], group[b])
+            changed |= group[a] != group[b]
+            group[a] = group[b] = least
+    first = {}
+    for x, found in places.items():
+        first[group[x]] = min(first.get(group[x], (1 << 60, 0)), *found)
+    return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip(" ") or first[group[x]] == (i, p)) for i, t in docs}
 
 
 def test_line_dedup(spark):
     base = [words(12, i) for i in range(6)]
     near = [" ".join(w if i != k else "other" for i, w in enumerate(base[0].split())) for k in range(12)]
     far = [" ".join(w if i > k else f"z{k}{i}" for i, w in enumerate(base[1].split())) for k in range(10)]
-    texts = ["\n".join([base[0], "short", base[2]]), "\n".join([near[1], base[2], base[2]]), None, "", "\n".join(near), "\n".join(far), "short\nshort", base[3] + "\n", "漢字" * 30 + "\n" + "漢字" * 29 + "仮", base[3]]
-    docs = [(i, t, 3, "x") for i, t in enumerate(texts)]
-    frame = spark.createDataFrame(docs, "doc_id bigint, text string, n_dropped int, first string")
+    r = random.Random(3)
+    long = ["".join(r.choice("abcdefghij") for _ in range(n)) for n in (118, 121, 400)]
+    long += [x + " end" for x in long] + [" ".join([x, "with", "words"]) for x in long]
+    texts = ["\n".join([base[0], "short", base[2]]), "\n".join([near[1], base[2], base[2]]), None, "", "\n".join(near), "\n".join(far), "short\nshort\n\n \n", base[3] + "\n", "漢字" * 30 + "\n" + "漢字" * 29 + "仮", base[3], "\n".join(long), words(4000, 5) + "\n" + words(4000, 5) + " more", "\n\n", "🙂" * 12 + "\n" + "🙂" * 13]
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame([(i, t, 3, "x", "y", 1) for i, t in docs], "doc_id bigint, text string, n_dropped int, first string, dropped string, version int")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(frame).collect()}
-    places = {}
-    for i, t in enumerate(texts):
-        for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= 20:
-                places.setdefault(line, []).append((i, p))
-    lines = list(places)
-    group = {x: x for x in lines}
-    for _ in lines:
-        for a, b in itertools.combinations(lines, 2):
-            s, z = shingles_of(a), shingles_of(b)
-            if len(s & z) >= 0.8 * len(s | z) - 1e-9:
-                group[a] = group[b] = min(group[a], group[b])
-    first = {}
-    for x in lines:
-        first[group[x]] = min(first.get(group[x], (99, 0)), *places[x])
-    for i, t in enumerate(texts):
-        left = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if len(x) < 20 or first[group[x]] == (i, p))
-        assert (got[i].text or None) == (left or None), i
-        assert got[i].n_lines == (0 if t is None else len(t.split("\n")))
-    assert line_dedup.dedup_lines(frame).columns == ["doc_id", "text", "first", "n_lines", "n_dropped"]
+    want = deduplicated(docs)
+    assert {i: x.text for i, x in got.items()} == want
+    assert all(got[i].n_lines == (0 if t is None else len(t.split("\n"))) for i, t in docs)
+    assert got[0].n_dropped == 0 and got[6].n_dropped == 2
+    assert line_dedup.dedup_lines(frame).columns == ["doc_id", "text", "first", "dropped", "version", "n_lines", "n_dropped"]
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeated_and_nameless_rows(spark):
+    rows = [(1, "one line of some length here\nand another that is not like it\none line of some length here"), (0, "x"), (1, "a text of its own for the same id\nand another that is not like it"), (None, "one line of some length here"), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame([*rows, *rows], "doc_id bigint, text string")).collect()
+    assert len(got) == 10
+    kept = Counter((x.doc_id, x.text) for x in got)
+    assert kept[None, rows[0][1][:28]] == 2 and kept[None, None] == 2 and kept[0, "x"] == 2
+    assert kept[1, "one line of some length here\nand another that is not like it"] + kept[1, "one line of some length here"] == 2
+    assert sum("and another" in (x.text or "") for x in got) == 2
+
+
+def test_line_dedup_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= 20})
+    sets = [shingles_of(x) for x in lines]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    met = Counter(pair for found in holders.values() if len(found) <= 60 for pair in itertools.combinations(found, 2))
+    near = {(a, b) for (a, b), _ in met.items() if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    p = line_dedup.Lines()
+    places, links = line_dedup.line_groups(docs, p)
+    named = {r.node: r.component for r in components.components(links).collect()}
+    text = dict(rows)
+    of = {text[r.doc_id].split("\n")[r.pos]: r.id for r in places.collect()}
+    name = lambda i: named.get(of.get(lines[i]), of.get(lines[i], -1 - i))
+    assert len(near) > 20 and sum(name(a) == name(b) for a, b in near) >= 0.95 * len(near)
+    linked = {}
+    for i in range(len(lines)):
+        linked.setdefault(name(i), []).append(i)
+    assert all(any(alike(lines[i], lines[j]) for j in own if j != i) for own in linked.values() if len(own) > 1 for i in own)
+
+
 def test_lines_that_differ_inside_long_words_stay(spark):
     r = random.Random(4)
     digest = lambda: f"{r.getrandbits(128):032x}"

@@ -87,7 +87,7 @@ def test_best_cuts_are_the_cheapest():
         assert math.isclose(sum(cost(i, j) for i, j in zip(cuts, cuts[1:], strict=False)), best[-1])
 
 
-URLS = ["http://A.Example.org/es/1?x#y", "https://example.org/en/12", "https://m.example.org/en/2", "http://x.com/fr/#a", "http://x.com/de/", "http://x.com", "x.com/de/", None, "", "http://org/", "ftp://notexample.org/es/", "http://É.org/a://b", "http://x.com/fr/", "http://x.com/fr/"]
+URLS = ["http://A.Example.org/es/1?x#y", "https://example.org/en/12", "https://m.example.org/en/2", "http://x.com/fr/#a", "http://x.com/de/", "http://x.com", "x.com/de/", None, "", "http://org/", "ftp://notexample.org/es/", "http://É.org/a://b", "http://x.com/fr/", "http://x.com/fr/", "http://" + "a." * 4000 + "example.org/es/" + "b" * 50000, "http://./fr/", "http://..com/fr/"]
 
 
 def by_hand(url):
@@ -116,23 +116,56 @@ def test_url_filters(spark, monkeypatch, most):
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 
 
-def test_secrets(spark):
-    texts = [None, "", f'the token = "{HEX}" and more', "averyveryverylongordinarywordhere and text", f"commit {HEX} by someone", "number 4785380592391139 here", f'{HEX}', f'api_key: "{HEX}"\nsecret: "{HEX[::-1]}"']
-    docs = spark.createDataFrame([(i, t, "src", 1.0) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, score double")
-    found = {(r.doc_id, r.nth): r.is_secret for r in secret_scan.scan(docs).collect()}
-    assert found[2, 0] and found[7, 0] and found[7, 1] and not found[3, 0] and not found[4, 0] and not found[5, 0]
-    masked = {r.doc_id: r.text for r in secret_scan.masked(docs).collect()}
-    assert masked[2] == 'the token = "<SECRET>" and more' and masked[7] == 'api_key: "<SECRET>"\nsecret: "<SECRET>"'
-    assert [masked[i] for i in (0, 1, 3, 4, 5)] == [texts[i] for i in (0, 1, 3, 4, 5)]
-    assert secret_scan.masked(docs).columns == docs.columns
-    assert secret_scan.scan(docs.limit(0)).count() == 0
-
-
-def test_secret_forest_on_held_out_findings(spark):
-    rows = secret_scan.generated_findings(spark, 3000).withColumn("held", F.crc32("candidate") % 4 == 0)
-    model = secret_scan.train(rows.where("NOT held").drop("held"))
-    judged = secret_scan.judge(rows.where("held"), model)
-    assert judged.agg(F.avg((F.col("is_secret") == (F.col("label") == 1)).cast("double"))).first()[0] > 0.97
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Documents whose words the scanner learns from; their ids begin at a million."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", "source", F.lit(1.0).alias("score"), F.lit("x").alias("cut")).persist()
+
+
+PLANTED = "doc_id bigint, text string, source string, score double, cut string"
+
+
+def test_secrets(spark, corpus):
+    texts = [None, "", f'the token = "{HEX}" and more', "averyveryverylongordinarywordhere and text", f"commit {HEX} by someone", "number 4785380592391139 here", f'api_key: "{HEX}"\nsecret: "{HEX[::-1]}"', 'password = "hunter2!Xy9"', "password: Tr0ub4dor&3zQ", "y" * 300_000]
+    docs = spark.createDataFrame([(i, t, "src", 1.0, "x") for i, t in enumerate(texts)] + [(None, texts[2], "src", 1.0, "x"), (2, texts[4], "src", 1.0, "x"), (2, texts[2], "src", 1.0, "x")], PLANTED).union(corpus)
+    found = [(r.doc_id, r.nth, r.is_secret, r.candidate) for r in secret_scan.scan(docs).where("doc_id IS NULL OR doc_id < 1000000").collect()]
+    secrets = {(i, c) for i, _, yes, c in found if yes}
+    assert secrets == {(2, HEX), (None, HEX), (6, HEX), (6, HEX[::-1]), (7, "hunter2!Xy9"), (8, "Tr0ub4dor&3zQ")}
+    assert {(4, HEX), (2, HEX)} <= {(i, c) for i, _, yes, c in found if not yes} | secrets
+    got = secret_scan.masked(docs).where("doc_id IS NULL OR doc_id < 1000000")
+    masked = Counter((r.doc_id, r.text) for r in got.collect())
+    mask = 'the token = "<SECRET>" and more'
+    assert masked[2, mask] == 2 and masked[None, mask] == 1 and masked[2, texts[4]] == 1
+    assert masked[6, 'api_key: "<SECRET>"\nsecret: "<SECRET>"'] == 1
+    assert all(masked[i, texts[i]] == 1 for i in (0, 1, 3, 4, 5, 9))
+    assert got.columns == docs.columns
+    assert secret_scan.scan(docs.limit(0)).count() == 0 and secret_scan.masked(docs.limit(0)).count() == 0
+
+
+def test_secrets_of_forms_not_in_training(spark, corpus):
+    r = random.Random(12)
+    from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
+    some = lambda n, of=ascii_letters + digits: "".join(r.choice(of) for _ in range(n))
+    secrets = [f() for _ in range(20) for f in (
+        lambda: f"the slack token is xoxb-{some(12, digits)}-{some(24)} for now", lambda: f"export GITLAB_TOKEN=glpat-{some(20)}", lambda: f'the secret = "{some(32, ascii_uppercase + "234567")}" was shared',
+        lambda: f"mail key: SG.{some(22)}.{some(43)}\n", lambda: f"my password is {some(5, ascii_lowercase)}{some(3, digits)}${some(3)}, keep it", lambda: f'passwd = "{some(14)}"')]
+    others = [f() for _ in range(20) for f in (
+        lambda: f"saved as IMG_{some(8, digits)}_{some(6, digits)}.jpg today", lambda: f"see /usr/share/doc/lib{some(3, digits)}/readme.html for it", lambda: f"upgraded to v2.{some(1, digits)}.{some(2, digits)}-rc1+build{some(3, digits)} yesterday",
+        lambda: f"the file had the checksum {some(64, '0123456789abcdef')} before", lambda: f"order ORD-{some(9, digits)} was sent", lambda: f"meet at 2024-0{some(1, '123456789')}-1{some(1, digits)}T10:1{some(1, digits)} there", lambda: f"write to {some(6, ascii_lowercase)}{some(2, digits)}@mail.example.org about it")]
+    docs = spark.createDataFrame([(i, t, "src", 1.0, "x") for i, t in enumerate(secrets + others)], PLANTED).union(corpus)
+    hit = {r.doc_id for r in secret_scan.scan(docs).where("is_secret AND doc_id < 1000000").collect()}
+    true = {i for i in hit if i < len(secrets)}
+    assert len(true) >= 0.8 * len(secrets) and len(true) >= 0.9 * len(hit), (len(true), len(secrets), len(hit))
+
+
+def test_secret_forest_on_held_out_findings(spark, corpus):
+    p = secret_scan.Forest()
+    words = secret_scan.corpus_words(corpus, p).persist()
+    rows = secret_scan.generated_findings(words, p).withColumn("held", F.crc32("candidate") % 4 == 0).persist()
+    scanner = secret_scan.train(rows.where("NOT held").drop("held"), words)
+    judged = secret_scan.judge(rows.where("held"), scanner)
+    assert judged.agg(F.avg((F.col("is_secret") == (F.col("label") == 1)).cast("double"))).first()[0] > 0.93
 
 
 def test_quality_on_held_out_labels(spark):
@@ -145,9 +178,13 @@ def test_quality_on_held_out_labels(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(0, 200)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r.keep for r in quality.classify(docs, labels).collect()}
     assert sum(got[i] == (i % 2 == 0) for i in range(200, 300)) >= 97 and len(got) == 302
-    kept = quality.accepted(docs, quality.fit(docs, labels))
+    kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
     assert {r.keep for r in quality.classify(docs, labels.limit(0)).collect()} == {True}
+    again = docs.union(spark.createDataFrame([(None, texts[0], "en", "s0", 0.5), (None, None, None, None, None), (7, texts[1], "en", "s1", 0.5), (900, texts[1] * 3000, "en", "s0", 0.5)], docs.schema))
+    assert quality.classify(again, labels.union(labels)).count() == 306 == quality.classify(again, labels).where("score BETWEEN 0 AND 1").count()
+    left = quality.accepted(again, labels)
+    assert left.where("doc_id IS NULL AND text IS NOT NULL").count() == 1 and left.where("doc_id = 900").count() == 0
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
@@ -162,9 +199,13 @@ def test_pieces(spark):
     for i, t in enumerate(TEXTS):
         ids = sp.encode(t or "")
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
+        assert got[i].round_trip == (sp.decode(ids) == (t or ""))
         assert len({s.ids_crc32 for s in got[i].samples}) == len(got[i].samples) <= 3
         assert all(s.log_inclusion <= 1e-12 for s in got[i].samples)
     assert got[0].samples == [] and got[2].round_trip
+    pieces = sentence_pieces.Pieces(MODEL, 1.0)
+    for t in [t or "" for t in TEXTS]:
+        assert pieces.decoded(np.array(sp.encode(t), np.int64)).decode() == sp.decode(sp.encode(t))
     rows = sentence_pieces.encode(frame(spark), MODEL)
     back = {r.doc_id: r.text for r in sentence_pieces.decode(rows, MODEL).collect()}
     assert back == {i: None if t is None else sp.decode(sp.encode(t)) for i, t in enumerate(TEXTS)}
@@ -188,20 +229,104 @@ def test_sampled_pieces_spell_the_text_and_follow_the_lattice():
         assert abs(c / n - prob[x] * prob[y] / (1 - prob[x])) < 0.03
 
 
-def test_pipeline(spark, tmp_path):
+def test_co_training_takes_the_surest_of_all_and_scores_by_its_weights(spark):
+    r, p = np.random.default_rng(3), quality.CoTraining(rounds=2, per_round=10)
+    docs = spark.createDataFrame([(i, " ".join(f"{'abcdefgh'[k % 8] * 3}{k if i % 2 else ''}" for k in r.integers(0, 40, 30)), "en", f"s{i % 2}") for i in range(120)], "doc_id bigint, text string, lang string, source string")
+    features = quality.featured(docs)
+    model = quality.fit(features, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int"), p)
+    rows = features.toPandas()
+    views = [np.stack([np.frombuffer(b, np.float32) for b in rows[c]]).astype(float) for c in ("content", "page")]
+    certain = quality.sigmoid(quality.logit(views[0], model["weights"][0]))
+    found = quality.surest(features, model["weights"], {(rows.t1[0], rows.t2[0])}, quality.CoTraining(per_round=10, sure=0.5), (0.5, 0.5))
+    order = sorted((i for i in range(1, 120) if certain[i] >= 0.5), key=lambda i: (-certain[i], rows.t1[i], rows.t2[i]))[:5]
+    assert [x[0] for x in found[1]] == [(rows.t1[i], rows.t2[i]) for i in order]
+    logits = [views[i] @ model["weights"][i][:-1] + model["weights"][i][-1] for i in (0, 1)]
+    steps = [x * c[0] + c[1] for x, c in zip(logits, model["calibrated"], strict=True)]
+    want = 1 / (1 + np.exp(-(steps[0] * model["combined"][0] + steps[1] * model["combined"][1] + model["combined"][2])))
+    got = {x.doc_id: x.score for x in quality.score(features, model, p).collect()}
+    assert all(math.isclose(got[d], w, abs_tol=1e-9) for d, w in zip(rows.doc_id, want, strict=True))
+    assert sum((got[i] > 0.5) == (i % 2 == 1) for i in range(40, 120)) >= 76
+
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, dropped string, row string, t1 string"
+
+
+def odd_documents(spark):
+    """Documents of the pipeline with nulls, empties, repeats, ties, a very long text, and columns of clashing names."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("*", *[F.lit("x").alias(c) for c in ("dropped", "row", "t1")])
+    text = real.where("length(text) > 300").orderBy("doc_id").first().text
+    odd = [(None, None, None, None, None, None, None, None), (None, text, "en", "src0", 1, "x", None, "x"), (900_001, "", "en", "src0", 0, "x", "x", "x"), (900_002, text, "en", "src0", 1, "x", "x", "x"),
+           (900_002, text, "en", "src0", 1, "x", "x", "x"), (900_003, f"{text}\nthe token = \"{HEX}\" was here", "en", "src0", 1, None, "x", "x"), (900_004, " ".join(text.split()[::-1]) * 200, "en", "src0", 1, "x", "x", "x")]
+    return real.unionByName(spark.createDataFrame(odd, DOCUMENTS))
+
+
+def test_every_stage_on_odd_documents(spark):
+    source = "/root/testdata/sf0.001"
+    docs = odd_documents(spark)
+    before, columns = docs.count(), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, source).persist()
+        assert left.columns == columns and left.schema["text"].dataType.simpleString() == "string", name
+        assert 0 < left.count() <= before, name
+        empty = stage(spark, docs.limit(0), source)
+        assert empty.columns == columns and empty.count() == 0, name
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, docs, source).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert pack(spark, docs.limit(0), source).count() == 0
+
+
+def test_stages_take_effect(spark):
+    source, docs = "/root/testdata/sf0.001", odd_documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["n-gram Jaccard join"](spark, docs, source)
+    assert near.where("doc_id = 900002").count() == 0 and near.where("doc_id IS NULL").count() == 2
+    masked = {r.doc_id: r for r in stages["secret scans"](spark, docs, source).where("doc_id >= 900000").collect()}
+    assert "<SECRET>" in masked[900_003].text and HEX not in masked[900_003].text and masked[900_003].n_chars == len(masked[900_003].text)
+    lines = stages["line dedup"](spark, docs, source)
+    assert lines.where("doc_id = 900002").count() == 0
+    assert lines.where("doc_id = 900003").first().text.startswith("the token")
+    kept = {r.doc_id: r.text for r in stages["quality classifier"](spark, docs, source).collect()}
+    given = {r.doc_id: r.text for r in docs.collect()}
+    assert all(given[i] == t for i, t in kept.items() if i is not None)
+
+
+def test_pipeline(spark):
     source = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{source}/documents.parquet").limit(150)
-    docs.union(docs.limit(3)).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.read.parquet(f"{source}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).dropDuplicates(["doc_id"])
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:1]:
-        kept = stage(spark, docs, str(tmp_path))
-        assert kept.columns == columns and 0 < kept.count() <= docs.count(), name
-    assert corpus_pipeline.run(spark, source).count() > 0
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    packed = corpus_pipeline.run(spark, source).toPandas()
+    assert set(packed.doc_id) <= {r.doc_id for r in docs.select("doc_id").collect()} and len(set(packed.doc_id)) > 0.5 * docs.count()
+    assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "secret scans", "packing"]
 
 
+def test_words_that_are_forgotten_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "TRANSITIONS", 300)
+    monkeypatch.setattr(sentence_pieces, "CACHE", 8)
+    pieces, fresh = sentence_pieces.Pieces(MODEL, 1.0), sentence_pieces.Pieces(MODEL, 1.0)
+    texts = [f"some words stay while others{i} come and go{i * 7}, é{i}\nand so on" for i in range(30)]
+    for t in texts:
+        fresh.clear()
+        assert sentence_pieces.segmentations(t, 5, pieces) == sentence_pieces.segmentations(t, 5, fresh)
+        assert pieces.encoded(pieces.know([t])[0]).tolist() == pieces.model.encode(t)
+    assert len(pieces.index) < 60
+
+
+def test_third_samples_follow_what_the_first_two_leave():
+    pieces = sentence_pieces.Pieces(MODEL, 0.3)
+    prob, thirds, expected = {}, Counter(), Counter()
+    for key in range(3000):
+        got = [(tuple(ids), math.exp(p)) for ids, p in sentence_pieces.segmentations("he", key, pieces, sentence_pieces.Sampling(k=3))]
+        prob |= dict(got)
+        thirds[got[2][0] if len(got) > 2 else None] += 1
+        if len(got) > 2:
+            left = 1 - got[0][1] - got[1][1]
+            for x, p in prob.items():
+                if x not in (got[0][0], got[1][0]):
+                    expected[x] += p / left
+    for x, n in expected.items():
+        assert abs(thirds[x] - n) < 120, (x, thirds[x], n)
+
+
 def test_long_words_have_one_lattice():
     pieces = sentence_pieces.Pieces(MODEL, 1.0)
     sp = pieces.model
