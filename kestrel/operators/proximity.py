@@ -20,18 +20,33 @@ def in_buckets(segs: DataFrame, width: int, most: int = 10_000) -> DataFrame:
     return segs.withColumn("bucket", F.explode(spanned))
 
 
-def candidates(points: DataFrame, segs: DataFrame, key: str, radius: float, width: int = 1, region: str | None = None) -> DataFrame:
+def in_cells(segs: DataFrame, width: int, radius: float, cell: float) -> DataFrame:
+    """Segments in a bucket, one row for each grid cell within ``radius`` of their way in that bucket."""
+    reach = radius * (1 + 1e-9) + 1e-6
+
+    def cells(a: str, b: str) -> Column:
+        ends = [along(F.col(a), F.col(b), clamped_share((F.col("bucket") + i) * F.lit(float(width)), F.col("t0"), F.col("t1"))) for i in (0, 1)]
+        return F.sequence(F.floor((F.least(*ends) - reach) / cell), F.floor((F.greatest(*ends) + reach) / cell))
+
+    rows = segs.select("*", F.explode(cells("x0", "x1")).alias("cx"))
+    return rows.select("*", F.explode(cells("y0", "y1")).alias("cy"))
+
+
+def candidates(points: DataFrame, segs: DataFrame, key: str, radius: float, width: int = 1, region: str | None = None, cell: float | None = None) -> DataFrame:
     """Pairs of a point and a segment in one bucket of time, at most ``radius`` apart in the plane.
 
     ``points`` has t, x, y, alt; ``segs`` has ``key``, t0, t1, x0.. alt1, paired.
     Buckets are compared, not the interval, so the share along a segment is
-    clamped. An equi-join on the bucket (and ``region``) carries the join, the
-    distance filters it. Results are the points' columns and key, dx, dy,
+    clamped. An equi-join on the bucket, on a cell of a grid (of four times the
+    radius, unless ``cell`` says otherwise) and on ``region`` carries the join: a
+    point lies in one cell, a segment in all that it may be near in the bucket.
+    The distance filters what meets. Results are the points' columns and key, dx, dy,
     horizontal, vertical, t0, paired.
     """
-    on = ["bucket"] + ([region] if region else [])
-    left = points.withColumn("bucket", bucket(F.col("t"), width))
-    right = in_buckets(segs, width)
+    cell = cell or 4 * radius
+    on = ["bucket", "cx", "cy"] + ([region] if region else [])
+    left = points.withColumns({"bucket": bucket(F.col("t"), width), "cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    right = in_cells(in_buckets(segs, width), width, radius, cell)
     met = left.join(right, on)
     share = clamped_share(F.col("t"), F.col("t0"), F.col("t1"))
     met = met.withColumn("share", share)

@@ -13,6 +13,7 @@ from kestrel.operators import dedup, proximity, segments, shapes, simulate, stat
 from kestrel.plans import encounters as e
 from kestrel.plans import oracle
 from kestrel.plans.encounters import table
+from kestrel.sources import states
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,9 +51,7 @@ def alerts(shape: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         near = e.found(spark, sf_dir)
         points = e.points(spark, sf_dir).select(*e.KEYS, "density")
-        flagged = shapes.evaluate(points, near, e.KEYS, {"alert": shapes.all_shapes()[shape]})
-        counts = near.groupBy(*e.KEYS).agg(F.count(F.lit(1)).alias("n"))
-        return flagged.join(counts, e.KEYS, "left").select(*e.KEYS, "density", "alert", F.coalesce("n", F.lit(0)).alias("n_candidates"))
+        return shapes.evaluate(points, near, e.KEYS, {"alert": shapes.all_shapes()[shape]}, "n_candidates").select(*e.KEYS, "density", "alert", "n_candidates")
     return query
 
 
@@ -86,12 +85,12 @@ def per_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = statistics.per_cluster(e.evaluated(spark, sf_dir), e.SHAPES, "drone_id")
-    return rounded(statistics.bootstrap(clusters, "drone_id", 200, 42), 9)
+    return rounded(statistics.bootstrap(clusters, "drone_id", 1000, 42), 9)
 
 
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = e.found(spark, sf_dir)
-    return rounded(statistics.sensitivity(e.evaluated(spark, sf_dir), found, e.KEYS, e.SHAPES, e.HORIZONTAL_M, e.VERTICAL_M), 9)
+    shifts = statistics.shifted(e.HORIZONTAL_M, e.VERTICAL_M)
+    return rounded(statistics.sensitivity(e.evaluated(spark, sf_dir, statistics.shift_flags(shifts)), e.SHAPES, shifts), 9)
 
 
 def fanout_danger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +120,25 @@ def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _day_events(spark, sf_dir).select("user_id", "day").distinct()
 
 
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as reports, some on the ground, some without altitude or position."""
+    k = F.col("k")
+    return e.events(spark, sf_dir).select(
+        "event_id", (F.col("event_type") == "signup").alias("on_ground"), F.when(k % 4 != 0, F.col("value")).alias("geo_altitude"),
+        F.when(k % 5 != 0, k * 0.1).alias("latitude"), F.when(k % 7 != 0, k * 0.2).alias("longitude"))
+
+
 def airborne_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports off the ground with an altitude."""
+    return rounded(states.airborne(_reports(spark, sf_dir)))
+
+
+def airborne_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports off the ground with a position."""
+    return rounded(states.airborne(_reports(spark, sf_dir), need_altitude=False))
+
+
+def box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.observations(spark, sf_dir).where(geometry.in_box(F.col("y"), F.col("x"), (40.0, 200.0, 400.0, 1500.0))))
 
 
@@ -324,7 +341,6 @@ def clip_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_states_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as payloads, one for an hour, and read back by the state source."""
-    from kestrel.sources import states
     hour = F.date_trunc("hour", F.col("ts"))
     values: list[Column] = [F.concat(F.lit("u"), F.col("user_id").cast("string")), F.concat(F.col("event_type"), F.lit(" ")), F.lit("Nowhere"), F.floor("t").cast("string"), F.floor("t").cast("string"),
               (F.col("k") * 0.1).cast("string"), F.col("value").cast("string"), F.lit(None).cast("string"), F.when(F.col("event_type") == "signup", "true").otherwise("false"),
@@ -346,7 +362,7 @@ def equal_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     segments_gap_cut, segments_union, bucket_candidates, labels, nearest_by_key, group_size, confusion, roc_table, plot_rows, mcnemar, per_cluster, bootstrap_ci,
-    sensitivity, fanout_danger, dedup_keep_last, dedup_null_passthrough, distinct_keys, airborne_filter, range_overlap, partition_latest, partitions_open,
+    sensitivity, fanout_danger, dedup_keep_last, dedup_null_passthrough, distinct_keys, airborne_filter, airborne_display, box_filter, range_overlap, partition_latest, partitions_open,
     coerce_numeric, bool_parse, trim_variants, list_parse, epoch_forms, left_fill, semi_flag, fanout_left, grain_inner, full_outer, coalesced, group_first_last,
     collect_points, first_nonblank, quantized, dequant_error, viz_bundle, utm_project, geodesic_direct, rejection_flight, track_gen, poisson_spawn, bbox_overlap,
     clip_ring, json_states_explode, equal_volumes]

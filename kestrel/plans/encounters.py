@@ -7,7 +7,7 @@ positions to segments, and the join's buckets are minutes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.functions.parsing import epoch_seconds
@@ -54,7 +54,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proximity.candidates(points(spark, sf_dir), all_segments(spark, sf_dir), "id", SEARCH_M, BUCKET_S)
 
 
-def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each flight step: density, danger and the alert of every shape."""
-    predicates = {"danger": proximity.within(HORIZONTAL_M, VERTICAL_M), **shapes.all_shapes()}
+def evaluated(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each flight step: density, danger, the alert of every shape, and what ``more`` predicates say."""
+    predicates = {"danger": proximity.within(HORIZONTAL_M, VERTICAL_M), **shapes.all_shapes(), **(more or {})}
     return shapes.evaluate(points(spark, sf_dir).select(*KEYS, "density"), found(spark, sf_dir), KEYS, predicates)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 EVENTS = """ev AS (
   SELECT event_id, ts, epoch_us(ts) / 1e6 AS t, user_id, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events
 )"""
@@ -67,22 +69,48 @@ NEAREST = """arg_min(id, (horizontal, paired, id, t0)) AS nearest, arg_min(horiz
 
 DAYS = EVENTS + ", days AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_type, value FROM ev)"
 
+REPORTS = """reports AS (
+  SELECT event_id, event_type = 'signup' AS on_ground, round(CASE WHEN k % 4 <> 0 THEN value END, 6) AS geo_altitude,
+    round(CASE WHEN k % 5 <> 0 THEN k * 0.1e0 END, 6) AS latitude, round(CASE WHEN k % 7 <> 0 THEN k * 0.2e0 END, 6) AS longitude FROM ev
+)"""
+
+#: The Poisson count of mean one at u of 65536: 1/e times the sums of 1, 1, 1/2, 1/6 ... are the steps.
+POISSON = " + ".join(f"(u >= ceil(65536 * exp(-1e0) * ({' + '.join(f'1e0 / {math.factorial(j)}' for j in range(k))})))::INTEGER" for k in range(1, 16))
+
 PLACES = """places AS (
   SELECT s_suppkey, 6e0 + (s_suppkey % 100) * 0.06e0 AS lon, 45e0 + (s_suppkey % 37) * 0.25e0 AS lat FROM supplier
 )"""
 
 
+#: The ellipsoid's rectifying radius and first eccentricity, and the projection's published
+#: series coefficients for it (WGS84), to double precision.
+RECTIFYING, ECCENTRICITY = "6367449.145823415e0", "0.0818191908426215e0"
+
+KRUGER = ("8.377318206244698e-4", "7.608527773572307e-7", "1.197645503329453e-9", "2.4291706072013587e-12", "5.711757677865804e-15", "1.4911177312583895e-17")
+
+
 def utm_sql() -> str:
     """The projection's series, spelt out with numbers of the ellipsoid."""
-    from kestrel.functions.geodesy import FLATTENING, _kruger
-    radius, alpha = _kruger()
-    e = (FLATTENING * (2 - FLATTENING)) ** 0.5
-    east = " + ".join(f"({a!r}::DOUBLE) * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))
-    north = " + ".join(f"({a!r}::DOUBLE) * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    east = " + ".join(f"{a} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(KRUGER, 1))
+    north = " + ".join(f"{a} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(KRUGER, 1))
     return f"""WITH {PLACES}, a AS (
-  SELECT s_suppkey, radians(lon - 9) AS l, sinh(atanh(sin(radians(lat))) - ({e!r}::DOUBLE) * atanh(({e!r}::DOUBLE) * sin(radians(lat)))) AS t FROM places
+  SELECT s_suppkey, radians(lon - 9) AS l, sinh(atanh(sin(radians(lat))) - {ECCENTRICITY} * atanh({ECCENTRICITY} * sin(radians(lat)))) AS t FROM places
 ), b AS (SELECT s_suppkey, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta FROM a)
-SELECT s_suppkey, round(500000 + ({0.9996 * radius!r}::DOUBLE) * (eta + {east}), 3) AS x, round(({0.9996 * radius!r}::DOUBLE) * (xi + {north}), 3) AS y FROM b"""
+SELECT s_suppkey, round(500000 + 0.9996e0 * {RECTIFYING} * (eta + {east}), 3) AS x, round(0.9996e0 * {RECTIFYING} * (xi + {north}), 3) AS y FROM b"""
+
+
+def direct_sql(source: str, keep: str, lon: str, lat: str, azimuth: str, metres: str) -> str:
+    """CTEs that end in ``ended``: the end of the geodesic on the ellipsoid, in three fixed steps."""
+    step = "sigma_0 + b2 * sin({s}) * (cos(2 * s1 + {s}) + b2 / 4 * (cos({s}) * (2 * pow(cos(2 * s1 + {s}), 2) - 1) - b2 / 6 * cos(2 * s1 + {s}) * (4 * pow(sin({s}), 2) - 3) * (4 * pow(cos(2 * s1 + {s}), 2) - 3)))"
+    f, minor = "(1e0 / 298.257223563e0)", "6356752.314245179e0"
+    return f"""g0 AS (SELECT {keep}, {lon} AS lon_1, radians({azimuth}) AS az, atan((1 - {f}) * tan(radians({lat}))) AS u1, {metres} AS way FROM {source}),
+g1 AS (SELECT *, atan2(tan(u1), cos(az)) AS s1, cos(u1) * sin(az) AS sa FROM g0),
+g2 AS (SELECT *, 1 - sa * sa AS c2, (1 - sa * sa) * (pow(6378137e0, 2) - pow({minor}, 2)) / pow({minor}, 2) AS k FROM g1),
+g3 AS (SELECT *, way / ({minor} * (1 + k / 16384 * (4096 + k * (k * (320 - 175 * k) - 768)))) AS sigma_0, k / 1024 * (256 + k * (k * (74 - 47 * k) - 128)) AS b2 FROM g2),
+g4 AS (SELECT *, {step.format(s="sigma_0")} AS sigma_1 FROM g3), g5 AS (SELECT *, {step.format(s="sigma_1")} AS sigma_2 FROM g4), g6 AS (SELECT *, {step.format(s="sigma_2")} AS sg FROM g5),
+g7 AS (SELECT *, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) AS cc, cos(2 * s1 + sg) AS cm, atan2(sin(sg) * sin(az), cos(u1) * cos(sg) - sin(u1) * sin(sg) * cos(az)) AS lam FROM g6),
+ended AS (SELECT {keep}, degrees(atan2(sin(u1) * cos(sg) + cos(u1) * sin(sg) * cos(az), (1 - {f}) * sqrt(sa * sa + pow(sin(u1) * sin(sg) - cos(u1) * cos(sg) * cos(az), 2)))) AS lat2,
+  lon_1 + degrees(lam - (1 - cc) * {f} * sa * (sg + cc * sin(sg) * (cm + cc * cos(sg) * (2 * cm * cm - 1)))) AS lon2 FROM g7)"""
 
 
 def sql() -> dict[str, str]:
@@ -115,11 +143,12 @@ def sql() -> dict[str, str]:
               round(least(1, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2e0))) FROM range(few + 1) x(i))), 9) AS pvalue FROM k""",
         "per_cluster": f"{shaped} SELECT density, shape, drone_id, {COUNTS} FROM long GROUP BY ALL",
         "bootstrap_ci": f"""{shaped}, c AS (SELECT density, shape, drone_id, {COUNTS} FROM long GROUP BY ALL),
-            u AS (SELECT density, drone_id, row_number() OVER (PARTITION BY density ORDER BY concat('0x', substr(md5(drone_id::VARCHAR), 1, 8))::BIGINT % 1024, drone_id) - 1 AS idx FROM (SELECT DISTINCT density, drone_id FROM c)),
+            u AS (SELECT DISTINCT density, drone_id FROM c), m AS (SELECT *, md5('42|' || density || '|' || drone_id || '|' || block) AS m FROM u, range(125) b(block)),
+            d AS (SELECT density, drone_id, block * 8 + j AS rep, concat('0x', substr(m, CAST(4 * j + 1 AS BIGINT), 4))::BIGINT AS u FROM m, range(8) x(j)),
+            w AS (SELECT density, drone_id, rep, {POISSON} AS times FROM d),
+            s AS (SELECT density, shape, rep, sum("TP" * times) AS "TP", sum("FP" * times) AS "FP", sum("TN" * times) AS "TN", sum("FN" * times) AS "FN"
+              FROM w JOIN c USING (density, drone_id) GROUP BY ALL),
             n AS (SELECT density, count(*) AS n FROM u GROUP BY ALL),
-            d AS (SELECT density, rep, concat('0x', substr(md5('42|' || density || '|' || rep || '|' || draw), 1, 8))::BIGINT % n AS idx
-              FROM n, range(200) r(rep), LATERAL (SELECT unnest(range(n)) AS draw)),
-            s AS (SELECT density, shape, rep, sum("TP") AS "TP", sum("FP") AS "FP", sum("TN") AS "TN", sum("FN") AS "FN" FROM d JOIN u USING (density, idx) JOIN c USING (density, drone_id) GROUP BY ALL),
             r AS (SELECT density, shape, "TP" / nullif("TP" + "FN", 0) AS tpr, "FP" / nullif("FP" + "TN", 0) AS fpr FROM s)
             SELECT density, shape, round(quantile_cont(tpr, 0.025), 9) AS tpr_low, round(quantile_cont(tpr, 0.975), 9) AS tpr_high,
               round(quantile_cont(fpr, 0.025), 9) AS fpr_low, round(quantile_cont(fpr, 0.975), 9) AS fpr_high, any_value(n) AS n_clusters FROM r JOIN n USING (density) GROUP BY density, shape""",
@@ -132,7 +161,9 @@ def sql() -> dict[str, str]:
             SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) AS n FROM m WHERE day IS NOT NULL) WHERE n = 1
             UNION ALL SELECT * FROM m WHERE day IS NULL""",
         "distinct_keys": f"WITH {DAYS} SELECT DISTINCT user_id, day FROM days",
-        "airborne_filter": f"WITH {OBS} SELECT id, event_id, round(t, 6) AS t, round(x, 6) AS x, round(y, 6) AS y, round(alt, 6) AS alt FROM obs WHERE y BETWEEN 40 AND 400 AND x BETWEEN 200 AND 1500",
+        "airborne_filter": f"WITH {EVENTS}, {REPORTS} SELECT * FROM reports WHERE NOT on_ground AND geo_altitude IS NOT NULL",
+        "airborne_display": f"WITH {EVENTS}, {REPORTS} SELECT * FROM reports WHERE NOT on_ground AND latitude IS NOT NULL AND longitude IS NOT NULL",
+        "box_filter": f"WITH {OBS} SELECT id, event_id, round(t, 6) AS t, round(x, 6) AS x, round(y, 6) AS y, round(alt, 6) AS alt FROM obs WHERE y BETWEEN 40 AND 400 AND x BETWEEN 200 AND 1500",
         "range_overlap": "SELECT CAST(epoch(min(o_orderdate)) AS BIGINT) AS first_s, CAST(epoch(max(o_orderdate)) AS BIGINT) AS last_s, count(*) AS n, count(DISTINCT o_custkey) AS customers, count(*) FILTER (o_totalprice > 100000) AS large FROM orders",
         "partition_latest": "WITH d AS (SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders) SELECT * FROM d WHERE date = (SELECT max(date) FROM d)",
         "partitions_open": f"WITH {DAYS} SELECT DISTINCT day FROM days WHERE day < (SELECT max(day) FROM days) AND CAST(right(day, 2) AS INTEGER) % 2 = 1",
@@ -163,6 +194,8 @@ def sql() -> dict[str, str]:
         "bbox_overlap": """SELECT vec_id, greatest(embedding[1], embedding[3], embedding[5]) >= -0.1 AND least(embedding[1], embedding[3], embedding[5]) <= 0.1
             AND greatest(embedding[2], embedding[4], embedding[6]) >= -0.1 AND least(embedding[2], embedding[4], embedding[6]) <= 0.1 AS overlaps FROM embeddings""",
         "utm_project": utm_sql(),
+        "geodesic_direct": f"""WITH {PLACES}, aimed AS (SELECT *, (s_suppkey * 7) % 360 AS azimuth, 100e0 + (s_suppkey % 79) * 100e0 AS metres FROM places),
+            {direct_sql("aimed", "s_suppkey", "lon", "lat", "azimuth", "metres")} SELECT s_suppkey, round(lon2, 9) AS lon2, round(lat2, 9) AS lat2 FROM ended""",
         "json_states_explode": """WITH """ + EVENTS + """, r AS (SELECT date_trunc('hour', ts) AS query_timestamp_utc, event_id, 'u' || user_id AS icao24, event_type AS callsign, CAST(floor(t) AS BIGINT) AS time_position,
               k * 0.1e0 AS longitude, value AS latitude, event_type = 'signup' AS on_ground, k * 1.2e0 AS geo_altitude, '0743' AS squawk FROM ev)
             SELECT query_timestamp_utc, icao24, callsign, time_position, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, on_ground, round(geo_altitude, 6) AS geo_altitude, squawk
