@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.config import Volumes
 from kestrel.functions import geodesy, geometry, parsing, quantize
 from kestrel.operators import dedup, proximity, segments, shapes, simulate, statistics
 from kestrel.plans import encounters as e
@@ -271,6 +271,37 @@ def dequant_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.agg(*out, F.max(F.col("p_retailprice_s") / 2).alias("half_step")))
 
 
+def aircraft_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object's points in order: seconds since its first, and quantised place and altitude."""
+    rows = e.observations(spark, sf_dir)
+    axes = ("y", "x", "alt")
+    scaled = rows.join(F.broadcast(quantize.parameters(rows, list(axes))))
+    firsts = rows.groupBy("id").agg(F.min("t").alias("t0"))
+    point = F.struct((F.rint("t") - F.rint("t0")).cast("bigint").alias("dt"), "event_id", *[quantize.quantized(F.col(c), F.col(f"{c}_s"), F.col(f"{c}_z")).alias(c) for c in axes])
+    ordered = scaled.join(firsts, "id").groupBy("id").agg(F.sort_array(F.collect_list(point)).alias("ps"))
+    return ordered.select("id", F.array_join(F.transform("ps", lambda p: F.concat_ws(":", p["dt"], *[p[c] for c in axes])), ";").alias("points"))
+
+
+def cylinder_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check that the cylinder alerts exactly where the separation rule finds danger, by density."""
+    rows = e.evaluated(spark, sf_dir)
+    return rows.groupBy("density").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cylinder") != F.col("danger")).alias("differing"))
+
+
+def zoned_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times as texts with and without an offset, some of them bad: what they mean in UTC, and whether UTC was assumed."""
+    k, plain = F.col("k"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    text = F.when(k % 4 == 0, F.concat(plain, F.lit("Z"))).when(k % 4 == 1, F.concat(plain, F.lit("+02:00"))).when(k % 4 == 2, plain).otherwise("soon")
+    return e.events(spark, sf_dir).select("event_id", text.alias("text")).select(
+        "event_id", parsing.epoch_seconds(parsing.parse_utc(F.col("text"))).cast("bigint").alias("seconds"), (parsing.parse_utc(F.col("text")).isNotNull() & ~parsing.has_offset(F.col("text"))).alias("assumed"))
+
+
+def micros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractional epochs as timestamps to the microsecond, and back."""
+    seconds = parsing.epoch_seconds(F.col("ts")) + F.col("k") * 0.001234
+    return e.events(spark, sf_dir).select("event_id", F.unix_micros(parsing.micros_of(seconds)).alias("micros"))
+
+
 def viz_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document for each density: counts, flights and dangers, in a fixed order."""
     rows = e.evaluated(spark, sf_dir)
@@ -350,21 +381,24 @@ def json_states_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(states.clean(states.from_payloads(payloads), "reported").select("query_timestamp_utc", "icao24", "callsign", "time_position", "longitude", "latitude", "on_ground", "geo_altitude", "squawk"))
 
 
-def _region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = Volumes()
-    nations = table(spark, sf_dir, "nation")
-    return nations.select("n_nationkey", parsing.slug(F.col("n_name")).alias("slug"), F.lit(v.sphere_m).alias("sphere_m"), F.lit(v.major_m).alias("major_m"), F.lit(v.minor_m).alias("minor_m"))
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of the volume that a cylinder of each customer's own radius and height has."""
+    radius, half = F.lit(50.0) + F.col("c_custkey") % 300, F.lit(10.0) + F.col("c_nationkey") % 25
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    sized = rows.select("c_custkey", parsing.slug(F.col("n_name")).alias("slug"), (F.lit(math.pi) * radius * radius * 2 * half).alias("volume"))
+    sphere, minor = F.pow(3 * F.col("volume") / (4 * math.pi), 1 / 3), F.pow(F.col("volume") / (4 * math.pi), 1 / 3)
+    return sized.select("c_custkey", "slug", sphere.alias("sphere_m"), (3 * minor).alias("major_m"), minor.alias("minor_m"))
 
 
 def equal_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_region_table(spark, sf_dir))
+    return rounded(_sized(spark, sf_dir))
 
 
 _QUERIES: list[Query] = [
     segments_gap_cut, segments_union, bucket_candidates, labels, nearest_by_key, group_size, confusion, roc_table, plot_rows, mcnemar, per_cluster, bootstrap_ci,
     sensitivity, fanout_danger, dedup_keep_last, dedup_null_passthrough, distinct_keys, airborne_filter, airborne_display, box_filter, range_overlap, partition_latest, partitions_open,
     coerce_numeric, bool_parse, trim_variants, list_parse, epoch_forms, left_fill, semi_flag, fanout_left, grain_inner, full_outer, coalesced, group_first_last,
-    collect_points, first_nonblank, quantized, dequant_error, viz_bundle, utm_project, geodesic_direct, rejection_flight, track_gen, poisson_spawn, bbox_overlap,
+    collect_points, aircraft_points, cylinder_agrees, zoned_times, micros, first_nonblank, quantized, dequant_error, viz_bundle, utm_project, geodesic_direct, rejection_flight, track_gen, poisson_spawn, bbox_overlap,
     clip_ring, json_states_explode, equal_volumes]
 
 

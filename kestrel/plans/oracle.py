@@ -200,7 +200,16 @@ def sql() -> dict[str, str]:
               k * 0.1e0 AS longitude, value AS latitude, event_type = 'signup' AS on_ground, k * 1.2e0 AS geo_altitude, '0743' AS squawk FROM ev)
             SELECT query_timestamp_utc, icao24, callsign, time_position, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, on_ground, round(geo_altitude, 6) AS geo_altitude, squawk
             FROM (SELECT *, row_number() OVER (PARTITION BY icao24, query_timestamp_utc ORDER BY event_id DESC) AS n FROM r) WHERE n = 1""",
-        "equal_volumes": "SELECT n_nationkey, lower(replace(n_name, ' ', '_')) AS slug, 144.224957e0 AS sphere_m, 300e0 AS major_m, 100e0 AS minor_m FROM nation",
+        "equal_volumes": """WITH v AS (SELECT c_custkey, lower(replace(n_name, ' ', '_')) AS slug, pi() * pow(50e0 + c_custkey % 300, 2) * 2 * (10e0 + c_nationkey % 25) AS volume
+              FROM customer JOIN nation ON c_nationkey = n_nationkey)
+            SELECT c_custkey, slug, round(cbrt(volume * 3 / (4 * pi())), 6) AS sphere_m, round(3 * cbrt(volume / (4 * pi())), 6) AS major_m, round(cbrt(volume / (4 * pi())), 6) AS minor_m FROM v""",
+        "aircraft_points": f"""WITH {OBS}, b AS (SELECT min(y) AS ly, (max(y) - min(y)) / 65535 AS sy, min(x) AS lx, (max(x) - min(x)) / 65535 AS sx, min(alt) AS la, (max(alt) - min(alt)) / 65535 AS sa FROM obs),
+            o AS (SELECT id, event_id, CAST(round_even(t, 0) - round_even(min(t) OVER (PARTITION BY id), 0) AS BIGINT) AS dt, CAST(round_even(y / sy, 0) + round_even(-ly / sy, 0) - 32768 AS BIGINT) AS qy,
+              CAST(round_even(x / sx, 0) + round_even(-lx / sx, 0) - 32768 AS BIGINT) AS qx, CAST(round_even(alt / sa, 0) + round_even(-la / sa, 0) - 32768 AS BIGINT) AS qa FROM obs, b)
+            SELECT id, string_agg(dt || ':' || qy || ':' || qx || ':' || qa, ';' ORDER BY dt, event_id) AS points FROM o GROUP BY id""",
+        "cylinder_agrees": f"{shaped} SELECT density, count(*) AS n, count(*) FILTER (cylinder <> danger) AS differing FROM evaluated GROUP BY density",
+        "zoned_times": f"""WITH {EVENTS} SELECT event_id, CASE WHEN k % 4 <> 3 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) - CASE WHEN k % 4 = 1 THEN 7200 ELSE 0 END END AS seconds, k % 4 = 2 AS assumed FROM ev""",
+        "micros": f"WITH {EVENTS} SELECT event_id, CAST(round_even((t + k * 0.001234e0) * 1e6, 0) AS BIGINT) AS micros FROM ev",
     }
     for shape in ("cylinder", "sphere", "ellipsoid"):
         out[f"alerts_{shape}"] = f"{shaped} SELECT drone_id, step, density, {shape} AS alert, n AS n_candidates FROM evaluated"

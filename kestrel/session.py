@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -24,25 +25,37 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
     )
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, one machine), a temporary folder is
-    made once and set for the session.
+    Where the session names none, a local master gets a temporary folder of its
+    own, made once; a cluster has no folder that would do, so it is an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """``frame`` as a Parquet table in the shared folder, read back.
 
     It cuts the lineage, and a lost executor costs no more than its own tasks.
+    ``instead_of`` is an earlier such table that nothing reads any more; it is removed.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    if instead_of is not None and getattr(instead_of, "shared_path", None):
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead_of.shared_path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.shared_path = path
+    return out
