@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "c")
         small = large.join(low, F.col("a") == F.col("c")).select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        stars = written(small.where("a <> b").distinct(), "edges")
+        stars = written(small.where("a <> b").distinct(), "edges", instead_of=stars)
         now = _mark(stars)
         if now == seen:
             break
