@@ -8,6 +8,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
@@ -33,12 +34,18 @@ class TokenCache:
 
 
 class SnapshotReader(SimpleDataSourceStreamReader):
-    """One snapshot a micro-batch. After an error it gives no rows until a pause is over; the offset counts snapshots."""
+    """One snapshot a micro-batch. After an error it gives no rows until a pause is over; the offset counts snapshots.
+
+    With a ``keep`` folder, on a disk that outlives the driver, each snapshot is
+    written there before the offset moves, and read from there when its batch is
+    done again; it is removed once a later batch is committed.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.options = options
         self.token = TokenCache(options["tokenUrl"], options.get("clientId", ""), options.get("clientSecret", "")) if "tokenUrl" in options else None
         self.wait_until = 0.0
+        self.keep = Path(options["keep"]) if "keep" in options else None
 
     def initialOffset(self) -> dict:
         return {"polls": 0}
@@ -63,19 +70,31 @@ class SnapshotReader(SimpleDataSourceStreamReader):
         except OSError:
             self.wait_until = now + 30
         else:
-            return iter([(datetime.now(timezone.utc), payload)]), {"polls": start["polls"] + 1}
+            at = datetime.now(timezone.utc)
+            if self.keep:
+                self.keep.mkdir(parents=True, exist_ok=True)
+                part = self.keep / f"{start['polls']}.part"
+                part.write_text(json.dumps([at.timestamp(), payload]))
+                part.replace(self.keep / f"{start['polls']}.json")
+            return iter([(at, payload)]), {"polls": start["polls"] + 1}
         return iter([]), start
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """A snapshot can't be asked for again; one that was lost before its commit stays lost."""
-        return iter([])
+        """The kept snapshots of a batch that is done again; without ``keep`` they can't be had again."""
+        from datetime import datetime, timezone
+        for number in range(start["polls"], end["polls"]) if self.keep else ():
+            if (self.keep / f"{number}.json").exists():
+                at, payload = json.loads((self.keep / f"{number}.json").read_text())
+                yield datetime.fromtimestamp(at, timezone.utc), payload
 
     def commit(self, end: dict) -> None:
-        pass
+        for file in self.keep.glob("*.json") if self.keep else ():
+            if int(file.stem) < end["polls"] - 1:
+                file.unlink(missing_ok=True)
 
 
 class SnapshotSource(DataSource):
-    """``spark.readStream.format("snapshots")`` with url, the box, and tokenUrl, clientId, clientSecret where needed."""
+    """``spark.readStream.format("snapshots")`` with url, the box, and tokenUrl, clientId, clientSecret, keep where needed."""
 
     @classmethod
     def name(cls) -> str:

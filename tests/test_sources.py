@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,35 @@ def test_snapshot_reader(monkeypatch):
     cache = TokenCache("http://unused", "a", "b")
     cache.value, cache.until = "t", 1000.0
     assert cache.get(now=900.0) == "t"
+
+
+def test_kept_snapshots_are_read_again(monkeypatch, tmp_path):
+    reader = SnapshotReader({"url": "x", "keep": str(tmp_path / "kept")})
+    monkeypatch.setattr(reader, "fetch", lambda: '{"time": 1}')
+    rows, first = reader.read(reader.initialOffset())
+    rows = list(rows)
+    _, second = reader.read(first)
+    again = SnapshotReader({"url": "x", "keep": str(tmp_path / "kept")})
+    assert list(again.readBetweenOffsets({"polls": 0}, first)) == rows and len(list(again.readBetweenOffsets({"polls": 0}, second))) == 2
+    again.commit(second)
+    assert list(again.readBetweenOffsets({"polls": 0}, first)) == [] and len(list(again.readBetweenOffsets(first, second))) == 1
+    assert list(SnapshotReader({"url": "x"}).readBetweenOffsets({"polls": 0}, second)) == []
+
+
+def test_run_until_ends_after_the_batch_in_hand(spark, tmp_path):
+    feed, store = tmp_path / "feed", lake.Lake(spark, str(tmp_path / "lake"))
+    feed.mkdir()
+    (feed / "1.json").write_text(json.dumps({"time": 1_700_000_000, "states": [state("a")]}))
+    query = collector.collect(collector.replay(spark, str(feed)), store, "boston", str(tmp_path / "ck"), "1 second", lambda: "2023-11-14")
+    collector.run_until(query, time.time() + 12)
+    assert not query.isActive and query.exception() is None
+    assert [r.icao24 for r in store.raw().collect()] == ["a"]
+
+
+@pytest.mark.parametrize("form", ["parquet", "csv", "json"])
+def test_results_are_replaced_whole(spark, tmp_path, form):
+    store = lake.Lake(spark, str(tmp_path / "lake"))
+    for rows in ([("a", 1), ("b", 2)], [("c", 3)]):
+        store.save(spark.createDataFrame(rows, "name string, n int"), "table", form)
+    back = spark.read.option("header", True).format(form).load(str(tmp_path / "lake/results/table"))
+    assert [(r.name, int(r.n)) for r in back.collect()] == [("c", 3)]
