@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kestrel.llm import fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, sentence_pieces, token_counts, url_filters
+from kestrel.llm import collocations, fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, sentence_pieces, token_counts, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
         "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
+        "op11_phrase_collocations": collocations.op11_phrase_collocations,
         "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op3_packing": packing.op3_packing,
         "op4_token_counts": token_counts.op4_token_counts,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_url_filters": url_filters.OP8_SQL}
+    return {"op8_url_filters": url_filters.OP8_SQL, "op11_phrase_collocations": collocations.OP11_SQL}
