@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm import collocations, fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, sentence_pieces, token_counts, url_filters
+from kestrel.llm import alignment, collocations, fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, sentence_pieces, token_counts, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
         "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
         "op11_phrase_collocations": collocations.op11_phrase_collocations,
+        "op12_cross_tokenizer_alignment": alignment.op12_cross_tokenizer_alignment,
         "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op3_packing": packing.op3_packing,
         "op4_token_counts": token_counts.op4_token_counts,
