@@ -37,7 +37,7 @@ from kestrel.session import written
 class Collocations:
     """Parameters: least count of a phrase, most words, the score's scale, the share (per cent) of a phrase's
     count at which a longer one absorbs it, phrases of a language that are reported; then bounds: mass aimed
-    at in a hash partition, capacity as a multiple of mass by threshold, bits of a bitmap, and bits for each
+    at in a hash partition, bytes of text at once, capacity as a multiple of mass by threshold, bits of a bitmap, and bits for each
     survivor."""
 
     threshold: int = 100
@@ -46,6 +46,7 @@ class Collocations:
     absorbed: int = 100
     top: int = 2000
     part_mass: int = 1 << 24
+    batch_bytes: int = 3 << 20
     spare: int = 4
     bitmap_bits: int = 1 << 28
     sparse: int = 64
@@ -94,7 +95,7 @@ class Words:
         word = np.array([xxhash.xxh3_64_intdigest(w) for w in self.known], np.uint64)[self.ids] if self.known else np.zeros(0, np.uint64)
         seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.langs], np.uint64)
         out = mix(word ^ np.repeat(seeds, np.diff(self.lang_ends, prepend=0)))
-        at = np.arange(len(word))
+        at = np.arange(len(word), dtype=np.int32)
         yield at, out
         for size in range(2, longest + 1):
             fits = at + size - 1 < len(word)
@@ -175,7 +176,7 @@ def _dealt(parts: int, p: Collocations):
     drop = np.uint64(64 - KEY - int(math.log2(parts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, p.batch_bytes):
             words = Words(batch.column(1), batch.column(0))
             keys, counts = counted(np.concatenate([h >> drop for _, h in words.hashes(p.longest)]))
             ends = np.searchsorted(keys, np.arange(1, parts + 1, dtype=np.uint64) << np.uint64(KEY))
@@ -236,7 +237,7 @@ def _recounted(shared, parts: int, begin: int, bits: int, totals: bool, p: Collo
         marks, stretch = shared.value
         slot_shift = np.uint64(KEY + int(math.log2(stretch)) - bits)
         low, high = np.uint64(begin << KEY), np.uint64(min(begin + stretch, parts)) << np.uint64(KEY)
-        for batch in small(batches):
+        for batch in small(batches, p.batch_bytes):
             words = Words(batch.column(1), batch.column(0))
             langs, base = words.lang_numbers(), len(words.known) + 1
             out: list[tuple[str, bytes | None, int]] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm import alignment, collocations, fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, sentence_pieces, token_counts, url_filters
+from kestrel.llm import alignment, collocations, fingerprints, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan, sentence_pieces, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
         "op11_phrase_collocations": collocations.op11_phrase_collocations,
         "op12_cross_tokenizer_alignment": alignment.op12_cross_tokenizer_alignment,
+        "op13_toxicity": toxicity.op13_toxicity,
         "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
         "op3_packing": packing.op3_packing,
         "op4_token_counts": token_counts.op4_token_counts,
