@@ -38,10 +38,10 @@ class Ftrl:
     epochs: int = 4
     least_texts: int = 3
     features: int = 1 << 20
-    alpha: float = 0.5
+    alpha: float = 5.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 0.5
+    l1: float = 8.0
+    l2: float = 0.0
 
 
 #: What stands between words: anything but letters, marks and digits.
