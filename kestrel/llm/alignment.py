@@ -35,14 +35,16 @@ from kestrel.session import written
 
 @dataclass(frozen=True)
 class Alignment:
-    """Parameters: pairs that are broadcast at most, and pairs that a task counts together, about."""
+    """Parameters: pairs that are broadcast at most, pairs that a task counts together, about, and bytes of
+    text in a batch, which bound a worker's memory."""
 
     common: int = 1 << 18
-    together: int = 1 << 22
+    together: int = 1 << 21
+    batch_bytes: int = 3 << 20
 
 
 #: Stretches in a worker's cache at most, and their characters.
-CACHE, CHARACTERS = 400_000, 1 << 24
+CACHE, CHARACTERS = 300_000, 1 << 23
 
 #: Stretches that are encoded as one text.
 JOINED = 4096
@@ -299,14 +301,14 @@ def align_batch(texts: pa.Array, known: Stretches) -> dict[str, list | np.ndarra
         "times": [planes(times[s:e]) for s, e in zip(at_doc, at_doc[1:], strict=False)]}
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def aligned(docs: DataFrame, path_a: str, path_b: str, p: Alignment = Alignment()) -> DataFrame:
     """``ROWS`` for every row of ``docs``, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Stretches.of(path_a, path_b)
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for batch in small(batches):
+            for batch in small(batches, p.batch_bytes):
                 found = align_batch(batch.column(2), known)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(found.values(), (*[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary()), strict=True)]], [c.split()[0] for c in ROWS.split(", ")])
 
@@ -383,7 +385,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, p: Alignment = Alignment())
     tokens: zeros, and '' for the digest. Repeated rows, and rows without doc_id,
     are documents of their own. Texts of any length are aligned whole.
     """
-    rows = aligned(docs, path_a, path_b)
+    rows = aligned(docs, path_a, path_b, p)
     size_b = Stretches.of(path_a, path_b).coders[1].bytes.rows
     return with_counts(rows, pair_counts(rows, size_b, p), p)
 
