@@ -21,6 +21,9 @@ REGIONS = {
 }
 
 
+# The defaults of the classes below are fixed values too: the rule's distances, and the ranges of flights.
+
+
 @dataclass(frozen=True)
 class Separation:
     """Distances in metres, times in seconds."""
@@ -71,10 +74,6 @@ class Flights:
     seed: int = 42
 
 
-def slug(name: str) -> str:
-    return name.lower().replace(" ", "_")
-
-
 def bbox_of(region: str) -> tuple[float, float, float, float]:
     """The box of a named region; ValueError for any other name."""
     if region not in REGIONS:

@@ -57,6 +57,11 @@ def has_offset(c: Column) -> Column:
     return F.coalesce(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.lit(False))
 
 
+def zone_assumed(c: Column) -> Column:
+    """Whether a time's text is good but names no offset."""
+    return parse_utc(c).isNotNull() & ~has_offset(c)
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970, microseconds as a fraction."""
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)

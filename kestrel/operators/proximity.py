@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,14 @@ def nearest(found: DataFrame, keys: list[str], key: str) -> DataFrame:
     return near
 
 
-def labels(points: DataFrame, found: DataFrame, keys: list[str], key: str, h: float, v: float) -> DataFrame:
-    """``points`` with danger, n_candidates and the nearest candidate: one aggregation, one left join."""
+def labels(points: DataFrame, found: DataFrame, keys: list[str], key: str, h: float, v: float, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """``points`` with danger, n_candidates and the nearest candidate: one aggregation, one left join.
+
+    ``more`` names predicates on candidates, each a flag of the points that any candidate fulfils.
+    """
+    flags = {"danger": within(h, v), **(more or {})}
     best = F.min_by(F.struct(F.col(key).alias("nearest"), F.col("horizontal").alias("nearest_h"), F.col("vertical").alias("nearest_v")),
                     F.struct("horizontal", "paired", key, "t0")).alias("best")
-    by = found.groupBy(*keys).agg(F.bool_or(within(h, v)).alias("danger"), F.count(F.lit(1)).alias("n"), best)
-    by = by.select(*keys, "danger", "n", "best.*")
-    return points.join(by, keys, "left").withColumn("danger", F.coalesce("danger", F.lit(False))).withColumn("n_candidates", F.coalesce("n", F.lit(0))).drop("n")
+    by = found.groupBy(*keys).agg(*[F.bool_or(c).alias(n) for n, c in flags.items()], F.count(F.lit(1)).alias("n"), best)
+    by = by.select(*keys, *flags, "n", "best.*")
+    return points.join(by, keys, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in flags} | {"n_candidates": F.coalesce("n", F.lit(0))}).drop("n")

@@ -59,7 +59,7 @@ def test_compaction(spark, tmp_path):
 def test_migrated_rows_win_and_skip_date(spark, tmp_path):
     store, day = lake.Lake(spark, str(tmp_path / "lake")), 1_700_000_000
     store.append(cleaned(spark, (day + 60, [state("a", tp=7, velocity=1.0)])), "boston", "poll-000000000001")
-    assert lake.backfill(store, cleaned(spark, (day, [state("a", tp=7, velocity=3.0)])), "boston", "2023-11-16", skip="2023-11-14") == 0
+    assert lake.backfill(store, cleaned(spark, (day, [state("a", tp=7, velocity=3.0)])), "boston", "2023-11-16", skip="2023-11-14").days == 0
     assert store.compact("2023-11-16") == 1
     assert [r.velocity for r in store.clean("boston").collect()] == [3.0]
 
