@@ -8,8 +8,8 @@ is broadcast to score all texts is a short table of weights.
 
 The labelled rows are a bounded sample, drawn by a hash of doc_id; their features
 are made in parallel and written, features of too few of these texts are left
-out, and the fit goes over the rows as a stream in one task, with memory for the
-coordinates alone.
+out, and each pass of the fit reads the rows as a stream in one task, with memory
+for the coordinates alone.
 """
 
 from __future__ import annotations
@@ -47,6 +47,9 @@ class Ftrl:
 #: What stands between words: anything but letters, marks and digits.
 BETWEEN_WORDS = r"[^\pL\pM\pN]+"
 
+#: Features whose texts a task counts together, about.
+TOGETHER = 1 << 22
+
 #: The kinds of features: single words, and the distances of two words that are paired.
 GAPS = (1, 2, 3)
 
@@ -122,9 +125,21 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> dict | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tobytes() for f in features_of(batch.column(2))], pa.binary())], ["doc_id", "toxic", "features"])
 
     def texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            slots, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(b.as_buffer(), np.uint32) for b in batch.column(0)]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(n)], ["slot", "n"])
+        held: list[np.ndarray] = []
+
+        def total() -> pa.RecordBatch:
+            slots, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(n)], ["slot", "n"])
+
+        size = 0
+        for batch in batches:
+            for raw in batch.column(0):
+                held.append(np.frombuffer(raw.as_buffer(), np.uint32))
+                size += len(held[-1])
+                if size > TOGETHER:
+                    yield total()
+                    held, size = [], 0
+        yield total()
 
     rows = written(sample(docs, labels, p).mapInArrow(made, "doc_id long, toxic double, features binary"), "labelled")
     if rows.select((F.col("toxic") > 0.5).alias("t")).distinct().count() < 2:
@@ -133,24 +148,29 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> dict | None:
     known = counts.where(F.col("n") >= p.least_texts).orderBy(F.desc("n"), "slot").limit(p.features).toArrow().column("slot").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(known).astype(np.uint32))
 
-    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = shared.value
-        learner = Learner(len(slots), p)
-        for batch in batches:
-            for label, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = np.frombuffer(raw.as_buffer(), np.uint32)
-                at = np.searchsorted(slots, own)
-                at = at[at < len(slots)]
-                learner.learn(at[slots[at] == own[:len(at)]], float(label > 0.5))
-        w = learner.weights(np.arange(len(slots) + 1))
-        used = np.flatnonzero(w[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array([*slots[used].tolist(), None], pa.int64()), pa.array([*w[used].tolist(), float(w[-1])], pa.float64())], ["slot", "weight"])
-
-    passes = rows.select(F.explode(F.sequence(F.lit(1), F.lit(p.epochs))).alias("epoch"), "doc_id", "toxic", "features")
-    stream = passes.repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"), "doc_id").select("epoch", "toxic", "features")
-    found = stream.mapInArrow(learnt, "slot long, weight double").toArrow().sort_by("slot")
-    slots, weights = found.column("slot").to_pylist(), found.column("weight").to_pylist()
-    return {"slots": np.array([s for s in slots if s is not None], np.uint32), "weights": np.array([w for s, w in zip(slots, weights, strict=True) if s is not None]), "bias": next(w for s, w in zip(slots, weights, strict=True) if s is None)}
+    learner = Learner(len(known), p)
+    for epoch in range(p.epochs):
+        state = docs.sparkSession.sparkContext.broadcast((learner.z, learner.n))
+
+        def learnt(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            slots, own = shared.value, Learner(len(shared.value), p)
+            own.z, own.n = (x.copy() for x in state.value)
+            for batch in batches:
+                for label, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    features = np.frombuffer(raw.as_buffer(), np.uint32)
+                    at = np.searchsorted(slots, features)
+                    at = at[at < len(slots)]
+                    own.learn(at[slots[at] == features[:len(at)]], float(label > 0.5))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own.z, own.n)], ["z", "n"])
+
+        # one task reads the written rows in an order of its own each time; nothing is shuffled
+        stream = rows.coalesce(1).sortWithinPartitions(F.xxhash64(F.lit(epoch), "doc_id"), "doc_id").select("doc_id", "toxic", "features")
+        z, n = stream.mapInArrow(learnt, "z binary, n binary").first()
+        learner.z, learner.n = (np.frombuffer(x, np.float64) for x in (z, n))
+        state.unpersist()
+    w = learner.weights(np.arange(len(known) + 1))
+    used = np.flatnonzero(w[:-1])
+    return {"slots": shared.value[used], "weights": w[used], "bias": float(w[-1])}
 
 
 def scores(texts: pa.Array, model: dict) -> np.ndarray:
