@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 SCHEMA = "query_timestamp_utc timestamp, payload string"
@@ -105,3 +107,118 @@ class SnapshotSource(DataSource):
 
     def simpleStreamReader(self, schema: StructType) -> SnapshotReader:
         return SnapshotReader(dict(self.options))
+
+
+class RegionPartition(InputPartition):
+    """One region's snapshot of a poll."""
+
+    def __init__(self, region: str, at: int):
+        self.region, self.at = region, at
+
+
+#: Tokens of an executor's worker process, by service and client.
+_tokens: dict[tuple[str, str], TokenCache] = {}
+
+
+class RegionReader(DataSourceStreamReader):
+    """A snapshot of every region at each trigger, a partition for each region, read on the executors.
+
+    A poll is named by its time in milliseconds. Each snapshot is kept in the
+    shared ``keep`` folder before it is handed on, and a poll that is done again is
+    read from there. A region whose service fails gives no rows and is left alone
+    for a pause; the others go on.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        for name in ("regions", "keep"):
+            if name not in options:
+                raise ValueError(f"region_snapshots needs the option {name}")
+        self.options = options
+        self.regions: dict[str, dict] = json.loads(options["regions"])
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:
+        return {"at": int(time.time() * 1000)}
+
+    def partitions(self, start: dict, end: dict) -> list[RegionPartition]:
+        return [RegionPartition(region, end["at"]) for region in sorted(self.regions)]
+
+    def _folder(self) -> tuple:
+        from pyarrow import fs
+        return fs.FileSystem.from_uri(self.options["keep"])
+
+    def fetch(self, region: str) -> str:
+        own = {**self.options, **self.regions[region]}
+        box = {k: own[k] for k in ("lamin", "lomin", "lamax", "lomax") if k in own}
+        request = urllib.request.Request(f"{own['url']}?{urllib.parse.urlencode(box)}")
+        if "tokenUrl" in own:
+            key = (own["tokenUrl"], own.get("clientId", ""))
+            token = _tokens.setdefault(key, TokenCache(*key, own.get("clientSecret", "")))
+            request.add_header("Authorization", f"Bearer {token.get()}")
+        with urllib.request.urlopen(request, timeout=30) as reply:
+            return reply.read().decode()
+
+    def read(self, partition: RegionPartition) -> Iterator[tuple]:
+        from datetime import datetime, timezone
+        files, base = self._folder()
+        place, kept = f"{base}/{partition.region}", f"{base}/{partition.region}/{partition.at}.json"
+
+        def there(path: str) -> bool:
+            return bool(files.get_file_info(path).type)
+
+        def put(path: str, text: str) -> None:
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with files.open_output_stream(part) as out:
+                out.write(text.encode())
+            files.move(part, path)
+
+        def got(path: str) -> str:
+            with files.open_input_stream(path) as source:
+                return source.read().decode()
+
+        files.create_dir(place, recursive=True)
+        if not there(kept):
+            now = time.time()
+            if there(f"{place}/wait") and now < float(got(f"{place}/wait")):
+                return
+            try:
+                payload = self.fetch(partition.region)
+            except (OSError, http.client.HTTPException) as error:
+                pause = float(self.options.get("httpPause", 60)) if isinstance(error, urllib.error.HTTPError) else float(self.options.get("networkPause", 30))
+                put(f"{place}/wait", str(now + pause))
+                return
+            put(kept, json.dumps([time.time(), payload]))
+        at, payload = json.loads(got(kept))
+        yield partition.region, datetime.fromtimestamp(at, timezone.utc), payload
+
+    def commit(self, end: dict) -> None:
+        """Drops the snapshots of polls before the one that is committed."""
+        from pyarrow import fs
+        files, base = self._folder()
+        for region in self.regions:
+            for info in files.get_file_info(fs.FileSelector(f"{base}/{region}", allow_not_found=True)):
+                stem, _, kind = info.base_name.partition(".")
+                if kind == "json" and stem.isdigit() and int(stem) < end["at"]:
+                    files.delete_file(info.path)
+
+
+class RegionSnapshotSource(DataSource):
+    """``spark.readStream.format("region_snapshots")``: region, query_timestamp_utc, payload.
+
+    Options: ``regions``, a JSON object of each region's own options (box, and url
+    where it has one); ``url``, ``tokenUrl``, ``clientId``, ``clientSecret`` for all;
+    ``keep``, a folder that the driver and all executors share; ``httpPause`` and
+    ``networkPause`` in seconds.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "region_snapshots"
+
+    def schema(self) -> str:
+        return "region string, " + SCHEMA
+
+    def streamReader(self, schema: StructType) -> RegionReader:
+        return RegionReader({k: self.options[k] for k in ("regions", "url", "tokenUrl", "clientId", "clientSecret", "keep", "httpPause", "networkPause") if k in self.options})
