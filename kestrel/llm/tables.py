@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -13,6 +14,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def own_columns(docs: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """A frame's columns, or some, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in names or docs.columns]
+
+
 def afterwards(rows: Iterator, drop: Callable[[], None]) -> Iterator:
     """The same rows; at the task's end caches are dropped, as a worker may idle for long and serve other operators."""
     try:

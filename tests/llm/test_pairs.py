@@ -183,6 +183,15 @@ def test_repeated_vectors_take_one_rank(spark):
     assert len(twice) == 60 and len({(q, i) for q, _, i, _ in twice}) == 60
 
 
+def test_vectors_of_several_dimensions_and_clashing_ids(spark):
+    v = np.random.default_rng(9).normal(size=(60, 8)).round(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    make = lambda x: sorted(tuple(y) for y in neighbours.nearest(spark.createDataFrame(x, "vec_id bigint, embedding array<double>").repartition(3), g=neighbours.Graph(shard_rows=200)).collect())
+    plain = make(rows)
+    assert make([*rows, (60, [1.0, 2.0]), (61, [1.0] * 9), (0, [5.0])]) == plain
+    assert make([*rows, (7, [9.0] * 8), (7, sorted(rows[7][1]))]) == make([*rows[:7], (7, min(rows[7][1], sorted(rows[7][1]))), *rows[8:]])
+
+
 def shingles_of(line):
     low = line.lower().encode("utf-16-be")
     return frozenset(low[i:i + 18] for i in range(0, max(len(low) - 17, 1), 2))
@@ -268,6 +277,25 @@ def test_line_dedup_recall_on_documents(spark):
     assert all(any(alike(lines[i], lines[j]) for j in own if j != i) for own in linked.values() if len(own) > 1 for i in own)
 
 
+@pytest.mark.parametrize(("template", "own", "stretch"), [(40, 24, 10_000), (24, 30, 50), (0, 30, 10_000)])
+def test_near_pairs_in_a_crowd_of_one_template(spark, template, own, stretch):
+    """Hundreds of lines that share a template and meet in the same buckets, each with one near copy."""
+    r = random.Random(template)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    frame, lines = [word() for _ in range(template)], []
+    for _ in range(300):
+        tail = [word() for _ in range(own)]
+        other = tail.copy()
+        other[-1] = word()
+        lines += [" ".join([*frame, *tail]), " ".join([*frame, *other])]
+    near = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if i // 2 == j // 2 and alike(lines[i], lines[j])]
+    assert len(near) > 250 and not any(alike(lines[2 * i], lines[2 * i + 2]) for i in range(299))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    left = {x.doc_id for x in line_dedup.dedup_lines(docs, line_dedup.Lines(stretch=stretch)).collect() if x.n_dropped == 0}
+    assert sum(i in left and j in left for i, j in near) <= 0.05 * len(near)
+    assert all(2 * i in left for i in range(300))
+
+
 def test_lines_that_differ_inside_long_words_stay(spark):
     r = random.Random(4)
     digest = lambda: f"{r.getrandbits(128):032x}"
