@@ -37,7 +37,7 @@ class Ftrl:
     labelled: int = 20_000
     epochs: int = 4
     least_texts: int = 3
-    features: int = 1 << 20
+    features: int = 1 << 18
     alpha: float = 5.0
     beta: float = 1.0
     l1: float = 8.0
