@@ -16,15 +16,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.tables import afterwards, read, small
+from kestrel.llm.tables import afterwards, own_columns, read, small
 from kestrel.session import written
 
 
@@ -188,13 +187,14 @@ def surest(features: DataFrame, weights: list[np.ndarray], used: set[tuple[int,
         yield pa.RecordBatch.from_pylist([dict(zip(("view", "label", "certain", "t1", "t2", "content", "page"), e, strict=True)) for e in out], SUREST)
 
     rows = features.select("t1", "t2", "content", "page").mapInArrow(best, "view int, label int, certain double, t1 long, t2 long, content binary, page binary").dropDuplicates(["view", "label", "t1", "t2"])
-    found = []
-    for view in range(len(weights)):
-        for label in (0, 1):
-            top = rows.where((F.col("view") == view) & (F.col("label") == label)).orderBy(F.desc("certain"), "t1", "t2").limit(most[view][label])
-            found.append(top)
+    # one scoring pass: what the partitions hand on is ranked apart for each view and label, in shares first
+    for share in ([F.pmod(F.xxhash64("t1", "t2"), F.lit(64))], []):
+        rank = F.row_number().over(Window.partitionBy("view", "label", *share).orderBy(F.desc("certain"), "t1", "t2"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= max(map(max, most))).drop("rank")
     out: list[list[tuple]] = [[] for _ in range(4)]
-    for r in reduce(DataFrame.union, found).collect():
+    for r in sorted(rows.collect(), key=lambda r: (-r.certain, r.t1, r.t2)):
+        if len(out[2 * r.view + r.label]) == most[r.view][r.label]:
+            continue
         out[2 * r.view + r.label].append(((r.t1, r.t2), r.content, r.page))
     return out
 
@@ -277,8 +277,9 @@ def accepted(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -
     features = featured(docs)
     rejected = score(features, fit(features, labels, p), p).where("NOT keep").select("t1", "t2").distinct()
     own = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("text", "lang", "source")]
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*own).alias("t1"), F.xxhash64(F.lit(1), *own).alias("t2"))
-    return rows.join(rejected, ["t1", "t2"], "left_anti").select("row.*")
+    rows = docs.select(F.struct(*own_columns(docs)).alias("row"), F.xxhash64(*own).alias("t1"), F.xxhash64(F.lit(1), *own).alias("t2"))
+    left = rows.join(rejected, ["t1", "t2"], "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: CoTraining = CoTraining()) -> DataFrame:
