@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm.components import components
-from kestrel.llm.tables import afterwards, read, small
+from kestrel.llm.tables import afterwards, own_columns, read, small
 from kestrel.llm.terms import ODD_2, ODD_3, forget, mix, shingle_hashes, word_hashes
 from kestrel.session import written
 
@@ -271,7 +271,8 @@ def one_of_each(docs: DataFrame, j: Join = Join()) -> DataFrame:
     Of rows that share a doc_id one stays, if any does; rows without one all stay.
     """
     gone = near_duplicates(docs, j).where("class_id <> doc_id").select("doc_id").distinct()
-    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    left = left.select(*own_columns(docs))
     return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -287,15 +287,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, g: Graph = Graph()
     ``vectors`` needs ``vec_id`` and ``embedding``; other columns are not read.
     Candidates are all rows but the query's own; equal scores go to the smaller
     vec_id. Vectors that are null, zero or hold a null or non-finite component,
-    and rows without vec_id, take no part. Where a vec_id repeats, its rows must
-    be of one vector; one of them is kept. All vectors must be of one dimension.
+    and rows without vec_id, take no part; nor do vectors of another dimension than
+    most have (of equally many, the greater counts). Where a vec_id repeats, its
+    least vector, component by component, is kept.
     Scores are inner products of the vectors as given, in double precision. A
     table without usable rows gives no rows.
     """
     usable_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
-    if usable_rows.isEmpty():
+    usual = usable_rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    if usual is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    usable_rows = usable_rows.dropDuplicates(["vec_id"])
+    usable_rows = usable_rows.where(F.size("embedding") == usual.size).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     index = written(build_index(usable_rows, g), "graph")
     return search(index, usable_rows.where(F.col("vec_id") % every == 0), k, g)
 

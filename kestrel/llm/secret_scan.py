@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.tables import read
+from kestrel.llm.tables import own_columns, read
 from kestrel.session import written
 
 
@@ -258,7 +258,7 @@ def masked(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     """
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     secrets = scan(docs, p).where("is_secret").groupBy("t1", "t2", "path").agg(F.collect_set("nth").alias("places"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), path.alias("path"))
+    rows = docs.select(F.struct(*own_columns(docs)).alias("row"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), path.alias("path"))
     cut = F.when(F.col("places").isNotNull(), F.struct(F.regexp_extract_all("row.text", F.lit(RUN), F.lit(0)).alias("runs"), F.split("row.text", RUN, -1).alias("rest")))
     joined = rows.join(secrets, ["t1", "t2", "path"], "left").select("row", "places", F.explode(F.array(cut)).alias("cut"))
     pieces = F.transform(F.col("cut.runs"), lambda run, i: F.concat(F.get("cut.rest", i), F.when(F.array_contains("places", i), MASK).otherwise(run)))

@@ -93,7 +93,7 @@ class Pieces:
                 self.weight[i] = self.weight.min()
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 texts[m.id_to_piece(i)] = i
-        self.unknown = re.compile("[^" + "".join(re.escape(c) for c in texts if len(c) == 1) + "]")
+        self.unknown = re.compile("[^" + "".join(re.escape(c) for c in texts if len(c) == 1 and c < chr(BYTES)) + "]")
         spelt = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
         self.opens = np.array([m.id_to_piece(i)[:1] == SPACE for i in range(size)])
         self.spelt_count = np.array([len(x) for x in spelt])

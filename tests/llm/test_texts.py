@@ -211,6 +211,13 @@ def test_pieces(spark):
     assert back == {i: None if t is None else sp.decode(sp.encode(t)) for i, t in enumerate(TEXTS)}
 
 
+def test_signs_that_stand_for_bytes_are_spelt_as_themselves(spark):
+    pieces = sentence_pieces.Pieces(MODEL, 1.0)
+    for text in ("x\U0010ff41y", "\U0010ff00", "\U0010ffff\U0010fffeb"):
+        word = pieces._spelt(text)
+        assert [c for c in word if c >= "\U0010ff00"] == [chr(sentence_pieces.BYTES + b) for c in text if c >= "\U0010ff00" for b in c.encode()]
+
+
 def test_sampled_pieces_spell_the_text_and_follow_the_lattice():
     pieces = sentence_pieces.Pieces(MODEL, 0.3)
     sp = pieces.model
@@ -248,15 +255,15 @@ def test_co_training_takes_the_surest_of_all_and_scores_by_its_weights(spark):
     assert sum((got[i] > 0.5) == (i % 2 == 1) for i in range(40, 120)) >= 76
 
 
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, dropped string, row string, t1 string"
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, dropped string, row string, t1 string, `a.b``c` string"
 
 
 def odd_documents(spark):
     """Documents of the pipeline with nulls, empties, repeats, ties, a very long text, and columns of clashing names."""
-    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("*", *[F.lit("x").alias(c) for c in ("dropped", "row", "t1")])
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("*", *[F.lit("x").alias(c) for c in ("dropped", "row", "t1", "a.b`c")])
     text = real.where("length(text) > 300").orderBy("doc_id").first().text
-    odd = [(None, None, None, None, None, None, None, None), (None, text, "en", "src0", 1, "x", None, "x"), (900_001, "", "en", "src0", 0, "x", "x", "x"), (900_002, text, "en", "src0", 1, "x", "x", "x"),
-           (900_002, text, "en", "src0", 1, "x", "x", "x"), (900_003, f"{text}\nthe token = \"{HEX}\" was here", "en", "src0", 1, None, "x", "x"), (900_004, " ".join(text.split()[::-1]) * 200, "en", "src0", 1, "x", "x", "x")]
+    odd = [(None, None, None, None, None, None, None, None, None), (None, text, "en", "src0", 1, "x", None, "x", "y"), (900_001, "", "en", "src0", 0, "x", "x", "x", None), (900_002, text, "en", "src0", 1, "x", "x", "x", None),
+           (900_002, text, "en", "src0", 1, "x", "x", "x", None), (900_003, f"{text}\nthe token = \"{HEX}\" was here", "en", "src0", 1, None, "x", "x", None), (900_004, " ".join(text.split()[::-1]) * 200, "en", "src0", 1, "x", "x", "x", None)]
     return real.unionByName(spark.createDataFrame(odd, DOCUMENTS))
 
 
