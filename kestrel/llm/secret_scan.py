@@ -147,6 +147,9 @@ def with_features(found: DataFrame, learnt: DataFrame) -> DataFrame:
 
 # labelled findings
 
+#: Kinds of generated findings; those below 12 are secrets.
+KINDS = 32
+
 
 def generated_findings(words: DataFrame, p: Forest) -> DataFrame:
     """path, candidate, before, after, label, kind: findings of many kinds, of digests and the corpus's words.
@@ -160,7 +163,7 @@ def generated_findings(words: DataFrame, p: Forest) -> DataFrame:
     size = max(1, numbered.agg(F.max("i")).first()[0] or 1)
     i = F.col("id")
     rows = spark.range(p.generated).select(
-        i, (i % 28).cast("int").alias("kind"), F.md5(i.cast("string")).alias("m"), F.sha1(i.cast("string")).alias("s"), F.sha2(i.cast("string"), 256).alias("x"),
+        i, (i % KINDS).cast("int").alias("kind"), F.md5(i.cast("string")).alias("m"), F.sha1(i.cast("string")).alias("s"), F.sha2(i.cast("string"), 256).alias("x"),
         F.translate(F.base64(F.unhex(F.sha2(i.cast("string"), 512))), "\r\n", "").alias("b"))
     for k in range(4):
         word = F.broadcast(numbered.select(F.col("i").alias(f"i{k}"), F.col("word").alias(f"w{k}")))
@@ -186,12 +189,17 @@ def generated_findings(words: DataFrame, p: Forest) -> DataFrame:
         F.concat(w[0], F.lit("-"), F.left(number, F.lit(1)), F.lit("."), F.substring(number, 2, F.lit(1)), F.lit("."), F.substring(number, 3, F.lit(2)), pick(["-beta1", ".tar", "rc2", ""], 16)),
         F.concat(w[0], w[1], w[2], w[3]), F.concat(F.upper(F.left(w[0], F.lit(3))), F.lit("-"), F.left(number, F.lit(6))),
         F.concat(F.left(w[1], F.lit(1)), F.expr("repeat(left(w0, 1 + pmod(xxhash64(id, 3), 2)), 20 + pmod(xxhash64(id, 4), 200))")), F.expr("repeat(b, 4 + pmod(xxhash64(id, 4), 12))"),
-        F.concat(F.upper(w[0]), F.lit("-20"), F.left(number, F.lit(6)), pick([".", "-"], 17), pick(["csv", "pdf", "png", "log", "zip"], 18)), F.concat(F.upper(F.left(w[0], F.lit(2))), F.left(number, F.lit(8)), pick(["", "B", "/2", ".3"], 19))]
+        F.concat(F.upper(w[0]), F.lit("-20"), F.left(number, F.lit(6)), pick([".", "-"], 17), pick(["csv", "pdf", "png", "log", "zip"], 18)), F.concat(F.upper(F.left(w[0], F.lit(2))), F.left(number, F.lit(8)), pick(["", "B", "/2", ".3"], 19)),
+        # ordinary words with signs behind them, at a sentence's begin or end, and addresses
+        F.concat(F.initcap(F.concat(w[0], w[1])), pick(["", ".", ",", "!"], 30), F.repeat(pick(["#", "$", "%", "&", "*", "!", "?", "="], 31), F.lit(3))),
+        F.concat(w[0], pick(["", ".", ",", ".)", "?"], 32), F.repeat(pick(["#", "$", "%", "&", "*", "-", "+", "~"], 33), F.lit(2) + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)).cast("int"))),
+        F.concat(F.initcap(F.concat(w[0], w[1], w[2])), F.repeat(pick(["#", "$", "%", "&", "*"], 34), F.lit(3))),
+        F.concat(pick(["", "Mr", "Info"], 35), w[0], pick([".", "_", "-", ""], 36), F.left(number, F.lit(2)), F.lit("@"), pick(["mail", "web", "mx", "post"], 37), F.substring(number, 3, F.lit(1)), F.lit("."), w[1], pick([".com", ".org", ".net", ".co"], 38))]
     made = F.get(F.array(*secret, *other), F.col("kind"))
     named = F.concat(pick(["token", "secret", "password", "api_key", "API key", "passwd", "auth_token", "client secret", "access key", "credentials", "private key", "bearer", "pwd", "connection password"], 21),
                      pick([" = \"", ": ", "=", " is ", ": '", " = '", " -> "], 22))
     told = F.concat(pick(["commit ", "sha1 ", "md5: ", "checksum = \"", "digest ", "etag: \"", "request id ", "revision ", "build ", "hash = ", "uuid: ", "blob "], 23), F.lit(""))
-    loose = pick([" ", " see ", " (", "in ", ": ", " \"", ", ", "from "], 24)
+    loose = pick([" ", " see ", " (", "in ", ": ", " \"", ", ", "from ", "is ", "is.\n", "is%%% ", "was ", "are. ", "of ", "is. "], 24)
     chance = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(100))
     lead = F.concat(w[2], F.lit(" "), w[3], F.lit(" "))
     digest = F.col("kind").between(12, 15)

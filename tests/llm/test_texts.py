@@ -159,6 +159,15 @@ def test_secrets_of_forms_not_in_training(spark, corpus):
     assert len(true) >= 0.8 * len(secrets) and len(true) >= 0.9 * len(hit), (len(true), len(secrets), len(hit))
 
 
+def test_secrets_of_documents(spark):
+    """Words with signs behind them and addresses of the documents stay; their planted tokens, which are hexadecimal, go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = [r.candidate for r in secret_scan.scan(docs).where("is_secret").collect()]
+    planted = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![0-9a-f])[0-9a-f]{32,64}(?![0-9a-f])"), F.lit(0))).alias("c")).count()
+    hexadecimal = [c for c in found if set(c) <= set("0123456789abcdef")]
+    assert len(hexadecimal) == planted > 10 and len(hexadecimal) >= 0.9 * len(found)
+
+
 def test_secret_forest_on_held_out_findings(spark, corpus):
     p = secret_scan.Forest()
     words = secret_scan.corpus_words(corpus, p).persist()
