@@ -35,6 +35,20 @@ class Separation:
     bucket_s: int = 1
 
 
+def cylinder_volume(radius, half_height):
+    """Of numbers or Columns alike, as the two below."""
+    return math.pi * radius * radius * (2 * half_height)
+
+
+def sphere_radius(volume):
+    return (3 * volume / (4 * math.pi)) ** (1 / 3)
+
+
+def minor_axis(volume, aspect):
+    """The short half-axes of an ellipsoid whose long one is ``aspect`` times as long."""
+    return (3 * volume / (4 * math.pi * aspect)) ** (1 / 3)
+
+
 @dataclass(frozen=True)
 class Volumes:
     """Sizes of the three shapes, of one volume with the cylinder of the separation rule."""
@@ -45,15 +59,15 @@ class Volumes:
 
     @property
     def volume(self) -> float:
-        return math.pi * self.radius_m**2 * (2 * self.half_height_m)
+        return cylinder_volume(self.radius_m, self.half_height_m)
 
     @property
     def sphere_m(self) -> float:
-        return (3 * self.volume / (4 * math.pi)) ** (1 / 3)
+        return sphere_radius(self.volume)
 
     @property
     def minor_m(self) -> float:
-        return (3 * self.volume / (4 * math.pi * self.aspect)) ** (1 / 3)
+        return minor_axis(self.volume, self.aspect)
 
     @property
     def major_m(self) -> float:

@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel import config
 from kestrel.functions import geodesy, geometry, parsing, quantize
 from kestrel.operators import dedup, proximity, segments, shapes, simulate, statistics
 from kestrel.plans import encounters as e
-from kestrel.plans import oracle
-from kestrel.plans.encounters import table
+from kestrel.plans import oracle, regional
+from kestrel.plans.encounters import rounded, table
 from kestrel.sources import states
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; no negative zero."""
-    return frame.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes])
-
-
 # segments, candidates, labels
 
 
@@ -38,9 +33,23 @@ def bucket_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.found(spark, sf_dir).select("drone_id", "step", "density", "id", "dx", "dy", "horizontal", "vertical", "paired"))
 
 
+def _traced(rows: DataFrame, parts: list[Column], **sums: Column) -> DataFrame:
+    """A row for each flight: sums over its steps, and each step's ``parts`` in order, as text."""
+    step = F.struct("step", F.concat_ws(":", F.col("step").cast("string"), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).alias("text"))
+    by = rows.groupBy("drone_id", "density").agg(*[c.alias(n) for n, c in sums.items()], F.sort_array(F.collect_list(step)).alias("steps"))
+    return by.select("drone_id", "density", *sums, F.array_join(F.col("steps.text"), ";").alias("trace"))
+
+
+def centi(c: Column) -> Column:
+    return F.rint(c * 100).cast("bigint")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of every step of every flight, a row for each flight."""
     points = e.points(spark, sf_dir).select("drone_id", "step", "density", "alt")
-    return rounded(proximity.labels(points, e.found(spark, sf_dir), e.KEYS, "id", e.HORIZONTAL_M, e.VERTICAL_M))
+    rows = proximity.labels(points, e.found(spark, sf_dir), e.KEYS, "id", e.HORIZONTAL_M, e.VERTICAL_M)
+    parts = [F.col("danger").cast("int"), F.col("n_candidates"), F.col("nearest"), centi(F.col("nearest_h")), centi(F.col("nearest_v")), centi(F.col("alt"))]
+    return _traced(rows, parts, n_steps=F.count(F.lit(1)), dangers=F.count_if("danger"), candidates=F.sum("n_candidates"))
 
 
 def nearest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +60,8 @@ def alerts(shape: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         near = e.found(spark, sf_dir)
         points = e.points(spark, sf_dir).select(*e.KEYS, "density")
-        return shapes.evaluate(points, near, e.KEYS, {"alert": shapes.all_shapes()[shape]}, "n_candidates").select(*e.KEYS, "density", "alert", "n_candidates")
+        rows = shapes.evaluate(points, near, e.KEYS, {"alert": shapes.all_shapes()[shape]}, "n_candidates")
+        return _traced(rows, [F.col("alert").cast("int"), F.col("n_candidates")], n_steps=F.count(F.lit(1)), alerts=F.count_if("alert"), candidates=F.sum("n_candidates"))
     return query
 
 
@@ -215,7 +225,7 @@ def fanout_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grain_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     left, right = orders.select("o_orderkey", "o_totalprice"), orders.select("o_orderkey", "o_orderstatus")
-    return dedup.assert_grain(left.join(right, "o_orderkey"), left, right)
+    return dedup.inner_by_grain(left, right, ["o_orderkey"])
 
 
 def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,8 +376,7 @@ def bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clip_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     clipped = geometry.clip(_rings(spark, sf_dir), "ring", BOX)
-    area = F.aggregate(F.sequence(F.lit(1), F.size("ring")), F.lit(0.0), lambda a, i: a + F.element_at("ring", i)["x"] * F.element_at("ring", i % F.size("ring") + 1)["y"] - F.element_at("ring", i % F.size("ring") + 1)["x"] * F.element_at("ring", i)["y"])
-    return rounded(clipped.select("vec_id", F.size("ring").alias("corners"), (F.abs(area) / 2).alias("area")))
+    return rounded(clipped.select("vec_id", F.size("ring").alias("corners"), geometry.ring_area(F.col("ring")).alias("area")))
 
 
 def json_states_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,9 +394,9 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes of the volume that a cylinder of each customer's own radius and height has."""
     radius, half = F.lit(50.0) + F.col("c_custkey") % 300, F.lit(10.0) + F.col("c_nationkey") % 25
     rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    sized = rows.select("c_custkey", parsing.slug(F.col("n_name")).alias("slug"), (F.lit(math.pi) * radius * radius * 2 * half).alias("volume"))
-    sphere, minor = F.pow(3 * F.col("volume") / (4 * math.pi), 1 / 3), F.pow(F.col("volume") / (4 * math.pi), 1 / 3)
-    return sized.select("c_custkey", "slug", sphere.alias("sphere_m"), (3 * minor).alias("major_m"), minor.alias("minor_m"))
+    sized = rows.select("c_custkey", parsing.slug(F.col("n_name")).alias("slug"), config.cylinder_volume(radius, half).alias("volume"))
+    minor = config.minor_axis(F.col("volume"), 3.0)
+    return sized.select("c_custkey", "slug", config.sphere_radius(F.col("volume")).alias("sphere_m"), (3 * minor).alias("major_m"), minor.alias("minor_m"))
 
 
 def equal_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +412,8 @@ _QUERIES: list[Query] = [
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in _QUERIES} | {f"alerts_{s}": alerts(s) for s in e.SHAPES}
+    return {q.__name__: q for q in _QUERIES} | {f"alerts_{s}": alerts(s) for s in e.SHAPES} | regional.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return oracle.sql() | regional.oracle_sql()

@@ -56,6 +56,8 @@ SHAPED = FOUND + """, inside AS (
   UNION ALL SELECT drone_id, step, density, danger, 'ellipsoid', ellipsoid FROM evaluated
 )"""
 
+CENTI = "CAST(round_even({} * 100, 0) AS BIGINT)"
+
 COUNTS = """count(*) FILTER (alert AND danger) AS "TP", count(*) FILTER (alert AND NOT danger) AS "FP",
   count(*) FILTER (NOT alert AND NOT danger) AS "TN", count(*) FILTER (NOT alert AND danger) AS "FN" """
 
@@ -121,10 +123,11 @@ def sql() -> dict[str, str]:
         "bucket_candidates": f"""WITH {FOUND} SELECT drone_id, step, density, id, round(dx, 6) + 0 AS dx, round(dy, 6) + 0 AS dy,
             round(horizontal, 6) AS horizontal, round(vertical, 6) AS vertical, paired FROM found""",
         "nearest_by_key": f"WITH {FOUND} SELECT drone_id, step, nearest, round(nearest_h, 6) AS nearest_h, round(nearest_v, 6) AS nearest_v FROM (SELECT drone_id, step, {NEAREST} FROM found GROUP BY ALL)",
-        "labels": f"""WITH {FOUND}, best AS (SELECT drone_id, step, {NEAREST}, count(*) AS n, bool_or(horizontal <= 200 AND vertical <= 50) AS danger FROM found GROUP BY ALL)
-            SELECT p.drone_id, p.step, p.density, round(p.alt, 6) AS alt, coalesce(danger, false) AS danger, coalesce(n, 0) AS n_candidates, nearest,
-              round(nearest_h, 6) AS nearest_h, round(nearest_v, 6) AS nearest_v
-            FROM pts p LEFT JOIN best b ON p.drone_id = b.drone_id AND p.step = b.step""",
+        "labels": f"""WITH {FOUND}, best AS (SELECT drone_id, step, {NEAREST}, count(*) AS n, bool_or(horizontal <= 200 AND vertical <= 50) AS danger FROM found GROUP BY ALL),
+            l AS (SELECT p.drone_id, p.step, p.density, p.alt, coalesce(danger, false) AS danger, coalesce(n, 0) AS n, nearest, nearest_h, nearest_v
+              FROM pts p LEFT JOIN best b ON p.drone_id = b.drone_id AND p.step = b.step)
+            SELECT drone_id, density, count(*) AS n_steps, count(*) FILTER (danger) AS dangers, CAST(sum(n) AS BIGINT) AS candidates, string_agg(step || ':' || danger::INTEGER || ':' || n || ':' || coalesce(nearest::VARCHAR, '') || ':'
+              || coalesce({CENTI.format("nearest_h")}::VARCHAR, '') || ':' || coalesce({CENTI.format("nearest_v")}::VARCHAR, '') || ':' || {CENTI.format("alt")}, ';' ORDER BY step) AS trace FROM l GROUP BY ALL""",
         "group_size": f"WITH {FOUND} SELECT drone_id, step, count(*) AS n, bool_or(horizontal <= 200 AND vertical <= 50) AS danger, count(DISTINCT id) AS objects FROM found GROUP BY ALL",
         "fanout_danger": f"""WITH {FOUND}, best AS (SELECT drone_id, step, {NEAREST}, bool_or(horizontal <= 200 AND vertical <= 50) AS danger FROM found GROUP BY ALL)
             SELECT b.drone_id, b.step, nearest, round(nearest_h, 4) AS nearest_h, round(nearest_v, 4) AS nearest_v, round(dx, 4) + 0 AS dx, round(dy, 4) + 0 AS dy
@@ -212,5 +215,6 @@ def sql() -> dict[str, str]:
         "micros": f"WITH {EVENTS} SELECT event_id, CAST(round_even((t + k * 0.001234e0) * 1e6, 0) AS BIGINT) AS micros FROM ev",
     }
     for shape in ("cylinder", "sphere", "ellipsoid"):
-        out[f"alerts_{shape}"] = f"{shaped} SELECT drone_id, step, density, {shape} AS alert, n AS n_candidates FROM evaluated"
+        out[f"alerts_{shape}"] = f"""{shaped} SELECT drone_id, density, count(*) AS n_steps, count(*) FILTER ({shape}) AS alerts, CAST(sum(n) AS BIGINT) AS candidates,
+            string_agg(step || ':' || {shape}::INTEGER || ':' || n, ';' ORDER BY step) AS trace FROM evaluated GROUP BY ALL"""
     return out

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,10 +142,44 @@ def test_keep_last(spark):
 
 
 def test_grain(spark):
-    two, one = spark.range(2), spark.range(1)
-    assert dedup.assert_grain(two, two, two).count() == 2
+    left, right = spark.range(4).withColumn("a", F.col("id") * 2), spark.range(4).withColumn("b", F.lit("x"))
+    assert sorted(rows(dedup.inner_by_grain(left, right, ["id"]))) == [(i, 2 * i, "x") for i in range(4)]
+    for bad in (right.where("id < 3"), right.union(right.limit(1)), right.union(spark.range(9, 10).withColumn("b", F.lit("y")))):
+        for sides in ((left, bad), (bad, left)):
+            with pytest.raises(Exception, match="grain differs"):
+                dedup.inner_by_grain(*sides, ["id"]).collect()
+
+
+def test_segments_of_a_long_track_in_blocks(spark):
+    draw = random.Random(6)
+    obs = [(draw.choice(["a", "b", None]), draw.choice(["n", "s"]), float(draw.randrange(4000)), float(i)) for i in range(600)]
+    frame = spark.createDataFrame(obs, "id string, region string, t double, x double")
+    want = rows(segments.pair_segments(frame, ["region", "id"], "t", ["x"], 30.0, ("x",)))
+    assert sorted(rows(segments.pair_segments(frame, ["region", "id"], "t", ["x"], 30.0, ("x",), 100.0))) == sorted(want) and len(want) > 100
+    assert all(r[1] is not None for r in want)
     with pytest.raises(ValueError):
-        dedup.assert_grain(one, two, two)
+        segments.pair_segments(frame, "id", "t", ["x"], 30.0, block_s=10.0)
+
+
+def test_rings_meet_the_regions_that_they_reach_into(spark):
+    draw = random.Random(3)
+    rings = []
+    for i in range(120):
+        x, y, r = draw.uniform(-170, 170), draw.uniform(-80, 80), draw.choice([0.2, 3.0, 40.0, 300.0])
+        rings.append((i, [(x, y), (x + draw.uniform(0, r), y + draw.uniform(-r, r)), (x - draw.uniform(0, r), y + draw.uniform(0, r))]))
+    rings += [(900, []), (901, [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)])]
+    boxes = [(f"r{k}", s, w, s + draw.uniform(0.5, 25), w + draw.uniform(0.5, 25)) for k, (s, w) in enumerate((draw.uniform(-80, 60), draw.uniform(-170, 150)) for _ in range(25))] + [("in", 2.0, 2.0, 3.0, 4.0)]
+    frame = spark.createDataFrame(rings, "id int, ring array<struct<x:double,y:double>>")
+    got = {(r.id, r.region): [tuple(p) for p in r.ring] for r in geometry.rings_in_regions(frame, "ring", spark.createDataFrame(boxes, "region string, south double, west double, north double, east double")).collect()}
+    want = {}
+    for name, *box in boxes:
+        for r in geometry.clip(frame.where("size(ring) > 0"), "ring", tuple(box)).collect():
+            want[r.id, name] = [tuple(p) for p in r.ring]
+    assert got.keys() == want.keys() and len(got) > 60
+    for key, ring in got.items():
+        at = want[key].index(min(want[key]))
+        assert ring == want[key][at:] + want[key][:at]
+    assert got[901, "in"] == [(2.0, 2.0), (4.0, 2.0), (4.0, 3.0), (2.0, 3.0)]
 
 
 def test_quantize_degenerate_and_error(spark):
