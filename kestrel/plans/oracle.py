@@ -76,8 +76,17 @@ REPORTS = """reports AS (
     round(CASE WHEN k % 5 <> 0 THEN k * 0.1e0 END, 6) AS latitude, round(CASE WHEN k % 7 <> 0 THEN k * 0.2e0 END, 6) AS longitude FROM ev
 )"""
 
-#: The Poisson count of mean one at u of 65536: 1/e times the sums of 1, 1, 1/2, 1/6 ... are the steps.
-POISSON = " + ".join(f"(u >= ceil(65536 * exp(-1e0) * ({' + '.join(f'1e0 / {math.factorial(j)}' for j in range(k))})))::INTEGER" for k in range(1, 16))
+#: 32 bits of a text's md5, and a scrambling of 32-bit numbers.
+WORD = "concat('0x', substr(md5({}), 1, 8))::BIGINT"
+_HALF = "((xor(({0}) >> 16, {0}) * 73244475) & 4294967295)"
+
+
+def mixed(x: str) -> str:
+    twice = _HALF.format(_HALF.format(x))
+    return f"xor({twice} >> 16, {twice})"
+
+
+MIXED = mixed("{0}")
 
 PLACES = """places AS (
   SELECT s_suppkey, 6e0 + (s_suppkey % 100) * 0.06e0 AS lon, 45e0 + (s_suppkey % 37) * 0.25e0 AS lat FROM supplier
@@ -146,15 +155,21 @@ def sql() -> dict[str, str]:
               round(least(1, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2e0))) FROM range(few + 1) x(i))), 9) AS pvalue FROM k""",
         "per_cluster": f"{shaped} SELECT density, shape, drone_id, {COUNTS} FROM long GROUP BY ALL",
         "bootstrap_ci": f"""{shaped}, c AS (SELECT density, shape, drone_id, {COUNTS} FROM long GROUP BY ALL),
-            u AS (SELECT DISTINCT density, drone_id FROM c), m AS (SELECT *, md5('42|' || density || '|' || drone_id || '|' || block) AS m FROM u, range(125) b(block)),
-            d AS (SELECT density, drone_id, block * 8 + j AS rep, concat('0x', substr(m, CAST(4 * j + 1 AS BIGINT), 4))::BIGINT AS u FROM m, range(8) x(j)),
-            w AS (SELECT density, drone_id, rep, {POISSON} AS times FROM d),
-            s AS (SELECT density, shape, rep, sum("TP" * times) AS "TP", sum("FP" * times) AS "FP", sum("TN" * times) AS "TN", sum("FN" * times) AS "FN"
-              FROM w JOIN c USING (density, drone_id) GROUP BY ALL),
-            n AS (SELECT density, count(*) AS n FROM u GROUP BY ALL),
-            r AS (SELECT density, shape, "TP" / nullif("TP" + "FN", 0) AS tpr, "FP" / nullif("FP" + "TN", 0) AS fpr FROM s)
+            u AS (SELECT *, {WORD.format("'42|' || density || '|' || drone_id")} AS base FROM (SELECT DISTINCT density, drone_id FROM c)),
+            units AS (SELECT *, row_number() OVER (PARTITION BY density ORDER BY base, drone_id) - 1 AS i FROM u),
+            sizes AS (SELECT density, count(*) AS n, greatest(0, 1 - 6 / sqrt(count(*))) AS lam, {WORD.format("'42|' || density || '|rest'")} AS own FROM units GROUP BY density),
+            steps AS (SELECT *, {", ".join(f"CAST(ceil(4294967296e0 * (exp(-lam) * ({' + '.join(f'pow(lam, {j}) / {math.factorial(j)}e0' for j in range(k + 1))}))) AS BIGINT) AS t{k}" for k in range(15))} FROM sizes),
+            d AS (SELECT units.density, drone_id, rep, {MIXED.format("(base + rep * 2654435761) & 4294967295")} AS u, steps.* EXCLUDE (density) FROM units JOIN steps USING (density), range(1000) r(rep)),
+            w AS (SELECT density, drone_id, rep, n, own, {" + ".join(f"(u >= t{k})::INTEGER" for k in range(15))} AS times FROM d),
+            lacking AS (SELECT density, rep, any_value(n) AS n, any_value(own) AS own, any_value(n) - sum(times) AS k FROM w GROUP BY density, rep),
+            extra AS (SELECT density, rep, n, {MIXED.format("(own + rep * 2654435761) & 4294967295")} AS h, unnest(range(1, CAST(k AS BIGINT) + 1)) AS j FROM lacking),
+            picked AS (SELECT e.density, e.rep, drone_id FROM (SELECT density, rep, {MIXED.format("(h + j * 2654435761) & 4294967295")} % n AS i FROM extra) e JOIN units USING (density, i)),
+            drawn AS (SELECT density, rep, drone_id, times FROM w WHERE times > 0 UNION ALL SELECT density, rep, drone_id, 1 FROM picked),
+            s AS (SELECT density, shape, rep, sum("TP" * times) AS "TP", sum("FP" * times) AS "FP", sum("TN" * times) AS "TN", sum("FN" * times) AS "FN", sum(times) AS draws
+              FROM drawn JOIN c USING (density, drone_id) GROUP BY ALL),
+            r AS (SELECT density, shape, draws, "TP" / nullif("TP" + "FN", 0) AS tpr, "FP" / nullif("FP" + "TN", 0) AS fpr FROM s)
             SELECT density, shape, round(quantile_cont(tpr, 0.025), 9) AS tpr_low, round(quantile_cont(tpr, 0.975), 9) AS tpr_high,
-              round(quantile_cont(fpr, 0.025), 9) AS fpr_low, round(quantile_cont(fpr, 0.975), 9) AS fpr_high, any_value(n) AS n_clusters FROM r JOIN n USING (density) GROUP BY density, shape""",
+              round(quantile_cont(fpr, 0.025), 9) AS fpr_low, round(quantile_cont(fpr, 0.975), 9) AS fpr_high, CAST(max(draws) AS BIGINT) AS n_clusters FROM r GROUP BY density, shape""",
         "sensitivity": f"""{shaped}, sh(shift_pct, h, v) AS (VALUES (-20, 160e0, 40e0), (0, 200e0, 50e0), (20, 240e0, 60e0)),
             hit AS (SELECT DISTINCT drone_id, step, shift_pct FROM inside, sh WHERE horizontal <= h AND vertical <= v),
             m AS (SELECT l.density, l.shape, l.alert, s.*, hit.drone_id IS NOT NULL AS danger FROM long l CROSS JOIN sh s LEFT JOIN hit ON hit.drone_id = l.drone_id AND hit.step = l.step AND hit.shift_pct = s.shift_pct),

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,33 @@ def test_rates_without_dangers(spark):
     assert (r.TPR, r.FPR, r.dist_to_corner) == (None, 0.1, None)
 
 
+def test_replicates_draw_as_many_clusters_as_there_are(spark):
+    made = [("d", "s", i, 1, i, 0, 0) for i in range(700)] + [("e", "s", i, 1, i, 0, 0) for i in range(20)] + [("f", "s", 7, 1, 7, 0, 0)]
+    clusters = spark.createDataFrame(made, "density string, shape string, drone string, TP long, FP long, TN long, FN long")
+    got = statistics.replicates(clusters, "drone", 300, 5).collect()
+    assert {(r.density, r.TP) for r in got} == {("d", 700), ("e", 20), ("f", 1)} and len(got) == 900 and all(r.TP == r.n_clusters for r in got)
+    # the sum of numbers drawn with replacement has n times their mean and variance
+    for name, n in (("d", 700), ("e", 20)):
+        sums = np.array([r.FP for r in got if r.density == name])
+        assert abs(sums.mean() - n * (n - 1) / 2) < 4 * n * (n / 12**0.5) / (n * 300) ** 0.5 * 1.2
+        assert sums.std() == pytest.approx((n * (n * n - 1) / 12) ** 0.5, rel=0.15)
+    again = statistics.replicates(clusters.repartition(7), "drone", 300, 5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_bootstrap_agrees_with_plain_resampling(spark):
+    draw = np.random.default_rng(3)
+    counts = np.stack([draw.poisson(m, 150) for m in (2, 1, 40, 1)], 1)
+    clusters = spark.createDataFrame([("d", "s", i, *map(int, c)) for i, c in enumerate(counts)], "density string, shape string, drone long, TP long, FP long, TN long, FN long")
+    got = statistics.bootstrap(clusters, "drone", 2000, 1).first()
+    sums = counts[draw.integers(0, 150, (4000, 150))].sum(1)
+    tpr, fpr = sums[:, 0] / (sums[:, 0] + sums[:, 3]), sums[:, 1] / (sums[:, 1] + sums[:, 2])
+    for name, rates in (("tpr", tpr), ("fpr", fpr)):
+        for end, q in (("low", 0.025), ("high", 0.975)):
+            assert got[f"{name}_{end}"] == pytest.approx(np.quantile(rates, q), abs=0.15 * rates.std())
+    assert got.n_clusters == 150
+
+
 def test_percentile(spark):
     r = column(spark, [1.0, 2.0, 5.0, 9.0, 20.0], "double").agg(F.percentile("c", 0.025), F.percentile("c", 0.975)).first()
     assert tuple(r) == pytest.approx((1.1, 18.9))
