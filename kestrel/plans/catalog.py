@@ -312,15 +312,6 @@ def micros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.events(spark, sf_dir).select("event_id", F.unix_micros(parsing.micros_of(seconds)).alias("micros"))
 
 
-def viz_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document for each density: counts, flights and dangers, in a fixed order."""
-    rows = e.evaluated(spark, sf_dir)
-    flights = e.points(spark, sf_dir).groupBy("density", "drone_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by("alt", "step").alias("alt"))
-    listed = flights.groupBy("density").agg(F.sort_array(F.collect_list(F.struct("drone_id", F.rint("t0").cast("bigint").alias("t0"), F.rint("t1").cast("bigint").alias("t1"), F.bround("alt", 2).alias("alt")))).alias("flights"))
-    counts = rows.groupBy("density").agg(F.count_if("danger").alias("dangers"), *[F.count_if(s).alias(s) for s in e.SHAPES])
-    return counts.join(listed, "density").select("density", F.to_json(F.struct("density", "dangers", *e.SHAPES, "flights")).alias("bundle"))
-
-
 # geodesy, simulation, rings
 
 
@@ -407,7 +398,7 @@ _QUERIES: list[Query] = [
     segments_gap_cut, segments_union, bucket_candidates, labels, nearest_by_key, group_size, confusion, roc_table, plot_rows, mcnemar, per_cluster, bootstrap_ci,
     sensitivity, fanout_danger, dedup_keep_last, dedup_null_passthrough, distinct_keys, airborne_filter, airborne_display, box_filter, range_overlap, partition_latest, partitions_open,
     coerce_numeric, bool_parse, trim_variants, list_parse, epoch_forms, left_fill, semi_flag, fanout_left, grain_inner, full_outer, coalesced, group_first_last,
-    collect_points, aircraft_points, cylinder_agrees, zoned_times, micros, first_nonblank, quantized, dequant_error, viz_bundle, utm_project, geodesic_direct, rejection_flight, track_gen, poisson_spawn, bbox_overlap,
+    collect_points, aircraft_points, cylinder_agrees, zoned_times, micros, first_nonblank, quantized, dequant_error, utm_project, geodesic_direct, rejection_flight, track_gen, poisson_spawn, bbox_overlap,
     clip_ring, json_states_explode, equal_volumes]
 
 
