@@ -31,8 +31,8 @@ def arrivals(spark: SparkSession, windows: Sequence[tuple], f: Flights = Flights
     """
     rows = []
     for region, t_min, t_max in windows:
-        for n, (density, rate) in enumerate(f.per_hour.items()):
-            count = poisson_count(rate * (t_max - t_min) / 3600, f"{f.seed}|{region}|{n}")
+        for density, rate in f.per_hour.items():
+            count = poisson_count(rate * (t_max - t_min) / 3600, f"{f.seed}|{region}|{density}|count")
             rows += [(region, density, float(t_min), float(t_max - t_min), k, min(count, k + TOGETHER)) for k in range(0, count, TOGETHER)]
     blocks = spark.createDataFrame(rows, "region string, density_level string, t_min double, span double, low long, high long").repartition("region", "density_level", "low")
     drawn = blocks.withColumn("id", F.explode(F.sequence("low", F.col("high") - 1)))
@@ -44,8 +44,8 @@ def arrivals(spark: SparkSession, windows: Sequence[tuple], f: Flights = Flights
 def spawns(spark: SparkSession, t_min: float, t_max: float, f: Flights = Flights()) -> DataFrame:
     """density_level, i, spawn (epoch seconds): arrivals of every density, numbered in time order."""
     parts = []
-    for n, (density, rate) in enumerate(f.per_hour.items()):
-        count = poisson_count(rate * (t_max - t_min) / 3600, f.seed * 1000 + n)
+    for density, rate in f.per_hour.items():
+        count = poisson_count(rate * (t_max - t_min) / 3600, f"{f.seed}|{density}|count")
         drawn = spark.range(count).select(F.lit(density).alias("density_level"), (F.lit(t_min) + F.lit(t_max - t_min) * uniform(F.lit(f.seed), F.lit(density), F.lit("spawn"), F.col("id"))).alias("spawn"))
         # sorted by range and numbered without one task for all: the order statistic of a uniform is a rank
         ranked = drawn.withColumn("slot", F.floor((F.col("spawn") - t_min) / max(1e-9, (t_max - t_min)) * 1024).cast("int"))

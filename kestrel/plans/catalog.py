@@ -346,9 +346,10 @@ def track_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poisson_spawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals over the window that the events span."""
+    """Arrivals of every density over the window that the events span, a row for each day."""
     window = e.events(spark, sf_dir).agg(F.min("t"), F.max("t")).first()
-    return rounded(simulate.spawns(spark, *window))
+    rows = simulate.spawns(spark, *window).withColumn("day", F.floor((F.col("spawn") - window[0]) / 86400))
+    return rounded(rows.groupBy("density_level", "day").agg(F.count(F.lit(1)).alias("n"), F.min("spawn").alias("first"), F.max("spawn").alias("last"), F.sum("i").alias("numbers")))
 
 
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:

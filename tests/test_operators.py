@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel import config
-from kestrel.functions import geodesy, geometry, parsing, quantize
+from kestrel.functions import geodesy, geometry, parsing, quantize, randoms
 from kestrel.operators import dedup, numbering, proximity, segments, shapes, simulate, statistics
 
 
@@ -131,6 +131,12 @@ def test_rates_without_dangers(spark):
     assert (r.TPR, r.FPR, r.dist_to_corner) == (None, 0.1, None)
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.4, 9.0, 2500.0])
+def test_poisson_counts(mean):
+    got = np.array([randoms.poisson_count(mean, f"{mean}|{i}") for i in range(1500)])
+    assert abs(got.mean() - mean) <= 4 * (mean / 1500) ** 0.5 and (not mean or got.var() == pytest.approx(mean, rel=0.15))
+
+
 def test_replicates_draw_as_many_clusters_as_there_are(spark):
     made = [("d", "s", i, 1, i, 0, 0) for i in range(700)] + [("e", "s", i, 1, i, 0, 0) for i in range(20)] + [("f", "s", 7, 1, 7, 0, 0)]
     clusters = spark.createDataFrame(made, "density string, shape string, drone string, TP long, FP long, TN long, FN long")
