@@ -57,7 +57,8 @@ class Ledger:
     def take_over(self, region: str, text: str) -> Row:
         """The window of an older collector's state (a JSON object, of either version), unless the region has one already.
 
-        Its totals are kept, and the days that it compacted are sealed.
+        Its totals are kept, and the days that it compacted are sealed. The names of
+        its fields are fixed values.
         """
         if found := self.window(region):
             return found
