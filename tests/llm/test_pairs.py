@@ -277,7 +277,7 @@ def test_line_dedup_recall_on_documents(spark):
     assert all(any(alike(lines[i], lines[j]) for j in own if j != i) for own in linked.values() if len(own) > 1 for i in own)
 
 
-@pytest.mark.parametrize(("template", "own", "stretch"), [(40, 24, 10_000), (24, 30, 50), (0, 30, 10_000)])
+@pytest.mark.parametrize(("template", "own", "stretch"), [(40, 24, 10_000), (24, 30, 50)])
 def test_near_pairs_in_a_crowd_of_one_template(spark, template, own, stretch):
     """Hundreds of lines that share a template and meet in the same buckets, each with one near copy."""
     r = random.Random(template)
