@@ -6,11 +6,11 @@ import threading
 import time
 from datetime import datetime, timedelta, timezone
 
+import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from kestrel.sources import lake as lakes
-from kestrel.sources.http import RegionReader, RegionSnapshotSource
+from kestrel.sources.http import RegionReader, RegionSnapshotSource, TokenCache
 from kestrel.streaming import collector
 from kestrel.streaming.ledger import Ledger, Totals
 
@@ -186,3 +186,35 @@ def test_a_poll_that_is_done_again_is_read_from_its_folder(tmp_path, monkeypatch
     assert second[0][2] == "two" and list(reader.read(later)) == second and not (tmp_path / "keep/a/5.json").exists()
     with pytest.raises(ValueError):
         RegionReader({"regions": "{}"})
+
+
+def test_tokens_are_asked_for_anew_before_they_end():
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"access_token": f"t{len(asked)}", **({"expires_in": 100} if len(asked) < 3 else {})}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    cache = TokenCache(f"http://127.0.0.1:{server.server_port}/token", "me", "hush")
+    # 30 seconds early; without a life of its own a token has 1800 seconds
+    assert [cache.get(now) for now in (0.0, 69.0, 70.0, 139.0, 140.0, 1909.0, 1910.0)] == ["t1", "t1", "t2", "t2", "t3", "t3", "t4"]
+    assert len(asked) == 4 and "client_id=me" in asked[0] and "client_secret=hush" in asked[0]
+
+
+def test_clean_days_are_written_in_order(spark, tmp_path):
+    store = lakes.Lake(spark, str(tmp_path / "lake"))
+    feed(tmp_path / "feed", [state(f"a{i * 7 % 10}", tp=i) for i in range(10)], [state(f"a{i}", tp=50 + i) for i in (3, 1, 2)])
+    run(spark, tmp_path, store)
+    assert store.compact("2023-11-16") == 1
+    [file] = (tmp_path / "lake/clean/region=boston/date=2023-11-14").glob("*.parquet")
+    rows = pq.read_table(file).select(["icao24", "query_timestamp_utc"]).to_pylist()
+    keys = [(r["icao24"], r["query_timestamp_utc"]) for r in rows]
+    assert keys == sorted(keys) and len(keys) == 13
