@@ -236,3 +236,42 @@ def test_simulation_does_not_depend_on_partitions(spark):
     track = simulate.tracks(legs).groupBy("drone_id").count().join(legs, "drone_id").collect()
     assert all(r["count"] == int(r.duration_s) + 1 and r.distance <= 8000.0001 for r in track)
     assert math.isclose(sum(r["count"] for r in track) / len(track), 706, rel_tol=0.6)
+
+
+def crossing(spark, copies=4):
+    """Points, each several times over, and tracks that objects share, some at equal distances: (points, segments)."""
+    draw = random.Random(8)
+    tracks = [[(float(60 * i + j), draw.choice([0.0, 50.0, 100.0, 400.0]), draw.choice([0.0, 60.0, 300.0]), 10.0 * draw.randrange(8)) for i in range(6)] for j in range(5)]
+    seen = [(f"{c}{j}", *p) for c in "abcd"[:copies] for j, track in enumerate(tracks) for p in track]
+    places = [(float(draw.randrange(400)), draw.choice([0.0, 50.0, 75.0]), draw.choice([0.0, 30.0]), 20.0) for _ in range(40)]
+    points = spark.createDataFrame([(c * 100 + i, *p) for c in range(3) for i, p in enumerate(places)], "p int, t double, x double, y double, alt double")
+    return points, segments.segments(observed(spark, seen), "id", "t", ["x", "y", "alt"], 180.0)
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_of_the_proximity_join_is_broadcast(spark):
+    points, segs = crossing(spark)
+    assert "Broadcast" not in plan(proximity.candidates(points, segs, "id", 330.0))
+
+
+SPOT = ["t", "x", "y", "alt"]
+
+
+def test_labels_by_place_are_those_of_all_candidates(spark):
+    points, segs = crossing(spark)
+    want = proximity.labels(points, proximity.candidates(points, segs, "id", 330.0), ["p"], "id", 200, 50).select("p", "danger", "n_candidates", "nearest", "nearest_h", "nearest_v")
+    got = proximity.labels_by_place(points.select(*SPOT).distinct(), proximity.merged(segs, "id"), SPOT, "id", 330.0, 1, 200, 50)
+    got = points.join(got, SPOT, "left").select("p", F.coalesce("danger", F.lit(False)), F.coalesce("n_candidates", F.lit(0)), "nearest", "nearest_h", "nearest_v")
+    assert sorted(rows(got), key=str) == sorted(rows(want), key=str) and any(r[2] > 8 for r in rows(want))
+
+
+def test_offsets_of_the_nearest_object(spark):
+    points, segs = crossing(spark)
+    found = proximity.candidates(points, segs, "id", 330.0)
+    labelled = proximity.labels(points, found, ["p"], "id", 200, 50).where("danger").select("p", *SPOT, "nearest")
+    want = labelled.join(found.select("p", F.col("id").alias("nearest"), "dx", "dy"), ["p", "nearest"]).select("p", "nearest", "dx", "dy")
+    got = proximity.offsets_of_nearest(labelled, segs, "id", 330.0, 1).select("p", "nearest", "dx", "dy")
+    assert sorted(rows(got)) == sorted(rows(want)) and got.count() > 0
