@@ -275,3 +275,13 @@ def test_offsets_of_the_nearest_object(spark):
     want = labelled.join(found.select("p", F.col("id").alias("nearest"), "dx", "dy"), ["p", "nearest"]).select("p", "nearest", "dx", "dy")
     got = proximity.offsets_of_nearest(labelled, segs, "id", 330.0, 1).select("p", "nearest", "dx", "dy")
     assert sorted(rows(got)) == sorted(rows(want)) and got.count() > 0
+
+
+def test_group_sizes_without_a_shuffle_of_pairs(spark):
+    points, segs = crossing(spark)
+    found = proximity.candidates(points, segs, "id", 330.0)
+    want = found.groupBy("p").agg(F.count(F.lit(1)), F.bool_or(proximity.within(200, 50)), F.count_distinct("id"))
+    got = proximity.group_sizes(points, segs, ["p"], "id", 330.0, 1, 200, 50)
+    assert sorted(rows(got)) == sorted(rows(want))
+    joined, dealt = plan(got).split("SortMergeJoin", 1)
+    assert "Exchange" not in joined and "Exchange" in dealt
