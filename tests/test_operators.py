@@ -277,6 +277,18 @@ def test_offsets_of_the_nearest_object(spark):
     assert sorted(rows(got)) == sorted(rows(want)) and got.count() > 0
 
 
+def test_merged_segments_are_counted_as_often_as_they_stand_for(spark):
+    points, segs = crossing(spark)
+    merged = proximity.merged(segs, "id")
+    assert merged.count() * 4 == segs.count() and {r[0][0] for r in merged.select("id").collect()} == {"a"}
+    alert = {"alert": shapes.all_shapes()["cylinder"]}
+    want = shapes.evaluate(points, proximity.candidates(points, segs, "id", 330.0), ["p"], alert, "n")
+    got = shapes.evaluate(points, proximity.candidates(points.select(*SPOT).distinct(), merged, "id", 330.0), SPOT, alert, "n")
+    assert sorted(rows(got.select(*want.columns))) == sorted(rows(want))
+    unnamed = observed(spark, [("a", 1.0, 0.0, 0.0, 0.0), (None, 1.0, 0.0, 0.0, 0.0)])
+    assert [(r.id, r.copies) for r in proximity.merged(segments.segments(unnamed, "id", "t", ["x", "y", "alt"], 180.0), "id").collect()] == [(None, 2)]
+
+
 def test_group_sizes_without_a_shuffle_of_pairs(spark):
     points, segs = crossing(spark)
     found = proximity.candidates(points, segs, "id", 330.0)
