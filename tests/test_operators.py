@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,13 @@ def test_group_sizes_without_a_shuffle_of_pairs(spark):
     assert sorted(rows(got)) == sorted(rows(want))
     joined, dealt = plan(got).split("SortMergeJoin", 1)
     assert "Exchange" not in joined and "Exchange" in dealt
+
+
+def test_poisson_sums_are_those_of_the_column_arithmetic(spark):
+    limits = [1400000000, 3000000000, 4000000000]
+    units = spark.createDataFrame([("a" if i % 3 else "b", (i * 2654435769) % 2**32, [i, 7]) for i in range(90)], "g string, base long, counts array<long>").withColumn("limits", F.array(*[F.lit(x).cast("long") for x in limits]))
+    got = pd.concat(statistics.poisson_sums([units.toPandas()], ["g"], ["x", "y"], 40))
+    draws = statistics.with_mixed(units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(39)))), "u", F.col("base") + F.col("rep").cast("long") * statistics.APART)
+    times = sum((F.col("u") >= x).cast("int") for x in limits)
+    want = draws.select("g", "rep", "counts", times.alias("times")).groupBy("g", "rep").agg(F.sum(F.col("counts")[0] * F.col("times")), F.sum(F.col("counts")[1] * F.col("times")), F.sum("times"))
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(rows(want)) and len(got) == 80
