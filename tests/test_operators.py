@@ -290,6 +290,17 @@ def test_merged_segments_are_counted_as_often_as_they_stand_for(spark):
     assert [(r.id, r.copies) for r in proximity.merged(segments.segments(unnamed, "id", "t", ["x", "y", "alt"], 180.0), "id").collect()] == [(None, 2)]
 
 
+@pytest.mark.parametrize("most", [1, 3, 1024])
+def test_pairs_of_what_lies_together_are_all_pairs(spark, most):
+    points, segs = crossing(spark)
+    want = proximity.candidates(points, segs, "id", 330.0).select("p", "id", "dx", "dy", "horizontal", "vertical", "t0", "paired")
+    places, ways = proximity.together(points, SPOT, ["p"], "ps", most), proximity.together(segs, proximity.WAY, ["id"], "ids", most)
+    met = proximity.candidates(places, ways, "ids", 330.0)
+    got = met.select(F.explode("ps.p").alias("p"), *[c for c in met.columns if c != "ps"]).withColumn("id", F.explode("ids.id")).select(*want.columns)
+    assert sorted(rows(got)) == sorted(rows(want)) and met.select(F.max(F.size("ids"))).first()[0] == min(most, 4)
+    assert met.count() * 3 * 4 <= want.count() or most < 4
+
+
 def test_group_sizes_without_a_shuffle_of_pairs(spark):
     points, segs = crossing(spark)
     found = proximity.candidates(points, segs, "id", 330.0)
