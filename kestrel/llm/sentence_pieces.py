@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,8 @@ class Pieces:
         self.begin, self.cum, self.logs = Flat(np.int32), Flat(np.float32), Flat(np.float32)
         self.next, self.piece = Flat(np.int32), Flat(np.int32)
         self.id_begin, self.id_count = Flat(np.int64), Flat(np.int64)
+        #: Of each word: whether its ids spell it, with a space before it.
+        self.same = Flat(np.bool_)
         #: Of each run, which is a word: its first state, and its main path, which takes the likeliest transition everywhere.
         self.run_state, self.main_begin, self.main_count, self.main = Flat(np.int64), Flat(np.int64), Flat(np.int64), Flat(np.int32)
         #: Of each state: the chance to leave the main path from there on. Of each transition: log of the chance of another.
@@ -129,8 +132,6 @@ class Pieces:
 
     def forget(self, words: set[str]) -> None:
         """Makes room: of the words that aren't kept, those of this batch are, up to a bound; the rest goes."""
-        if self.cum.size < TRANSITIONS:
-            return
         others, self.others = self.others, []
         for word in others:
             del self.index[word]
@@ -246,18 +247,36 @@ class Pieces:
         self.id_begin.add(self.ids.size + np.cumsum(sizes) - sizes)
         self.id_count.add(sizes)
         self.ids.add(np.concatenate(ids))
+        self.same.add(self._spells(words, np.concatenate(ids), sizes))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.others += words
         self._lattices(spelt)
 
+    def _spells(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each word, which has so many of the ids, is what they spell."""
+        want = np.frombuffer("".join([" " + w for w in words]).encode("utf-8", "surrogatepass"), np.uint8)
+        first = np.flatnonzero(want == ord(" "))  # words hold none
+        counts = self.spelt_count[ids]
+        got = spread(self.spelt, self.spelt_begin[ids], counts)
+        edges = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        wide, long = np.diff(np.append(first, len(want))), np.diff(edges)
+        same = wide == long
+        alike = np.flatnonzero(same)
+        differing = spread(want, first[alike], wide[alike]) != spread(got, edges[alike], long[alike])
+        same[alike[np.searchsorted(np.cumsum(wide[alike]), np.flatnonzero(differing), side="right")]] = False
+        return same
+
+    @staticmethod
+    def even(text: str) -> bool:
+        """Whether single spaces split a text into its words."""
+        return text != "" and not ("  " in text or text[0] == " " or text[-1] == " ")
+
     @staticmethod
     def split(text: str) -> list[str] | None:
         """Words whose encodings, each with the space before it, add up to the text's; None where the spaces split it."""
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
-        return None
+        if Pieces.even(text):
+            return None
+        return [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))] if text else []
 
     def know(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of the words of each text, new words being learnt."""
@@ -266,12 +285,17 @@ class Pieces:
         cut = pc.split_pattern(pa.array([texts[i] for i in even], pa.large_string()), " ")
         numbered = pc.dictionary_encode(cut.flatten())
         words = numbered.dictionary.to_pylist()
-        own = set(words).union(*[w for w in split if w])
-        self.forget(own)
-        new = list(own.difference(self.index))
+        odd = set().union(*[w for w in split if w])
+        if self.cum.size >= TRANSITIONS:
+            self.forget(odd.union(words))
+        known = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(known < 0)
+        new = [words[i] for i in missing]
+        new += odd.difference(self.index, new)
         for at in range(0, len(new), AT_ONCE):
             self.learn(new[at:at + AT_ONCE])
-        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[numbered.indices.to_numpy()]
+        known[missing] = [self.index[w] for w in new[:len(missing)]]
+        known = known[numbered.indices.to_numpy()]
         ends = cut.offsets.to_numpy()
         out = [np.array([self.index[w] for w in words or ()], np.int64) for words in split]
         for i, a, b in zip(even, ends, ends[1:], strict=False):
@@ -283,6 +307,10 @@ class Pieces:
         got = spread(self.spelt, self.spelt_begin[ids], self.spelt_count[ids]).tobytes()
         return got[1:] if got[:1] == b" " else got
 
+    def returns(self, text: str, words: np.ndarray, ids: np.ndarray) -> bool:
+        """Whether decoding a text's ids gives the text back: by its words, and only where that doesn't tell by the text."""
+        return bool(self.even(text) and self.same.a[words].all()) or self.decoded(ids) == text.encode("utf-8")
+
     def encoded(self, words: np.ndarray) -> np.ndarray:
         """The model's ids of a text."""
         return spread(self.ids.a, self.id_begin.a[words], self.id_count.a[words])
@@ -296,10 +324,10 @@ class Pieces:
         that leave it.
         """
         n = len(runs)
-        begin, cum, logs, following, slack = self.begin.a, self.cum.a, self.logs.a, self.next.a, self.slack.a
+        begin, cum, logs, following, slack = self.begin.closed(self.cum.size), self.cum.a, self.logs.a, self.next.a, self.slack.a
 
         def goes_on(state: np.ndarray) -> np.ndarray:
-            return begin[state] < np.where(state + 1 < self.begin.size, begin[np.minimum(state + 1, self.begin.size - 1)], self.cum.size)
+            return begin[state] < begin[state + 1]
 
         state = self.run_state.a[runs]
         counts = self.main_count.a[runs].copy()
@@ -361,6 +389,12 @@ class Flat:
         self.a[self.size:self.size + len(more)] = more
         self.size += len(more)
 
+    def closed(self, end) -> np.ndarray:
+        """The values and, past them, ``end``."""
+        self.add(np.array([end], self.a.dtype))
+        self.size -= 1
+        return self.a
+
 
 def spread(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The stretches of ``flat`` in a row."""
@@ -416,12 +450,11 @@ class Region:
 class Search:
     """The search for one text's best perturbed paths: its regions by their scores."""
 
-    def __init__(self, pieces: Pieces, runs: np.ndarray, key: np.uint64):
-        self.pieces, self.runs, self.key = pieces, runs, key
+    def __init__(self, pieces: Pieces, runs: np.ndarray, key: np.uint64, dice: list[float]):
+        self.pieces, self.runs, self.key, self.dice = pieces, runs, key, dice
         self.regions: list[Region] = []
         self.found: list[tuple[np.ndarray, float]] = []
         self.opened: tuple | None = None
-        self.dice = uniforms(key + np.arange(8, dtype=np.uint64) * np.uint64(65537), 7).tolist()
 
     def seeds(self, own: int = 0) -> np.ndarray:
         """Seeds of the runs from ``own`` on for the next path."""
@@ -443,10 +476,10 @@ class Search:
         """Of the best region left."""
         return max(r.score for r in self.regions)
 
-    def split(self) -> tuple[np.ndarray, np.ndarray, int]:
+    def split(self, dice: list[float]) -> tuple[np.ndarray, np.ndarray, int]:
         """Opens the best region: the runs to draw, their seeds, and the first one's state."""
         best = max(self.regions, key=lambda r: r.score)
-        self.dice = uniforms(self.key + np.arange(8, dtype=np.uint64) * np.uint64(65537), 1000 + len(self.found)).tolist()
+        self.dice = dice
         place, turn, score = best.turn(self.pieces, *self.dice[2:5])
         own = int(best.word[place])
         self.opened = (best, place, turn, own, score)
@@ -458,11 +491,15 @@ def sample(pieces: Pieces, texts: list[np.ndarray], keys: list[np.uint64], k: in
 
     The texts' searches go side by side, so that a round's paths are drawn at once.
     """
-    every = [Search(pieces, runs, key) for runs, key in zip(texts, keys, strict=True)]
+    def dice(keys: list[np.uint64], salt: int) -> list[list[float]]:
+        return uniforms(np.array(keys, np.uint64)[:, None] + np.arange(8, dtype=np.uint64) * np.uint64(65537), salt).tolist()
+
+    every = [Search(pieces, runs, key, own) for runs, key, own in zip(texts, keys, dice(keys, 7), strict=True)]
     jobs = [(s, s.runs, s.seeds(), -1) for s in every]
     for number in range(k):
         if number:
-            jobs = [(s, *s.split()) for s in every if s.score > -np.inf]
+            open_ = [s for s in every if s.score > -np.inf]  # each has found ``number`` paths
+            jobs = [(s, *s.split(own)) for s, own in zip(open_, dice([s.key for s in open_], 1000 + number), strict=True)]
         if not jobs:
             break
         sizes = np.array([len(runs) for _, runs, _, _ in jobs])
@@ -552,7 +589,7 @@ def sample_segmentations(docs: DataFrame, path: str, s: Sampling = Sampling()) -
                 paths, after = drawn.get(i, ([], 0.0))
                 for rank, (taken, log_prob) in enumerate(paths, 1):
                     samples.append({"rank": rank, "n_pieces": len(taken), "ids_crc32": crc(pieces.piece.a[taken]), "log_prob": log_prob, "log_inclusion": log_inclusion(log_prob, after)})
-                rows.append((ids[i], len(own), crc(own), pieces.decoded(own) == texts[i].encode("utf-8"), samples))
+                rows.append((ids[i], len(own), crc(own), pieces.returns(texts[i], words, own), samples))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sampled, SCHEMA)

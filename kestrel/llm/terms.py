@@ -29,10 +29,13 @@ def forget() -> None:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    x = x + ODD_1
-    x = (x ^ (x >> np.uint64(30))) * ODD_2
-    x = (x ^ (x >> np.uint64(27))) * ODD_3
-    return x ^ (x >> np.uint64(31))
+    x = x + ODD_1  # a copy, changed in place
+    x ^= x >> np.uint64(30)
+    x *= ODD_2
+    x ^= x >> np.uint64(27)
+    x *= ODD_3
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

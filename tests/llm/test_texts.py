@@ -357,3 +357,16 @@ def test_long_words_have_one_lattice():
             spelt = [sp.id_to_piece(i) for i in ids]
             assert "".join(spelt) == text
             assert abs(sum(np.log(weight[x]) for x in spelt) - log_mass[0] - log_prob) < 1e-3 * max(1, len(word) / 50)
+
+
+def test_plain_texts_are_told_to_round_trip_by_their_words(monkeypatch):
+    pieces = sentence_pieces.Pieces(MODEL, 1.0)
+    texts = ["a plain text, of words", "the \ufb01rst of 2\u00b2", "two  spaces", " ends ", "", "emoji \U0001f9ff and \u0638", "\u2581own sign", "a\u00a0b c\td"]
+    for t in texts:
+        [words] = pieces.know([t])
+        ids = pieces.encoded(words)
+        assert pieces.returns(t, words, ids) == (pieces.model.decode(ids.tolist()) == t), t
+    assert {bool(x) for x in pieces.same.a[:pieces.same.size]} == {True, False}
+    monkeypatch.setattr(pieces, "decoded", lambda ids: 1 / 0)
+    [words] = pieces.know([texts[0]])
+    assert pieces.returns(texts[0], words, pieces.encoded(words))
