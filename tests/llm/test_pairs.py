@@ -314,3 +314,17 @@ def test_shared_counts(sizes):
     r = random.Random(2)
     sets = [np.unique(np.array([r.randrange(8) for _ in range(n)], np.uint64)) for n in sizes]
     assert jaccard_join.shared_counts(sets).tolist() == [[len(set(a.tolist()) & set(b.tolist())) if i != k else int(sum(x in set(np.concatenate([s for m, s in enumerate(sets) if m != i]).tolist()) for x in a.tolist())) for k, b in enumerate(sets)] for i, a in enumerate(sets)]
+
+
+def test_line_dedup_keeps_no_table_of_tokens(spark, monkeypatch):
+    draw, p = random.Random(8), line_dedup.Lines()
+    lines = ["".join(draw.choice("abcd") for _ in range(60)) for _ in range(4)]
+    lines += [x[:i] + "#" + x[i + 1:] for x in lines for i in (0, 2, 30, 57)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    inside = spark.createDataFrame([(i, i, i % 3 > 0) for i in range(len(lines))], "id long, component long, out boolean")
+    names, kept = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda frame, name, **more: (names.append(name), kept(frame, name, **more))[1])
+    got = {(r.x, r.y) for r in line_dedup.similar(line_dedup.rest_of_pairs(inside, texts, p), texts, p).collect()}
+    sets = [{x[i:i + p.shingle] for i in range(len(x) - p.shingle + 1)} for x in lines]
+    near = {(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if len(sets[i] & sets[j]) >= p.threshold * len(sets[i] | sets[j]) and (i % 3 or j % 3)}
+    assert near and got == near and "tokens" not in names
