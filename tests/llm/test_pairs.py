@@ -328,3 +328,23 @@ def test_line_dedup_keeps_no_table_of_tokens(spark, monkeypatch):
     sets = [{x[i:i + p.shingle] for i in range(len(x) - p.shingle + 1)} for x in lines]
     near = {(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if len(sets[i] & sets[j]) >= p.threshold * len(sets[i] | sets[j]) and (i % 3 or j % 3)}
     assert near and got == near and "tokens" not in names
+
+
+def test_line_dedup_leaves_only_what_is_read_again(spark, monkeypatch):
+    """Tables that nothing reads any more go, and so does what a write has shuffled."""
+    import glob
+
+    from kestrel import session
+
+    base = [words(40, i) for i in range(30)]
+    docs = spark.createDataFrame([(i, "\n".join([x, x + " more"])) for i, x in enumerate(base)], "doc_id bigint, text string")
+    made, write = [], session.written
+    monkeypatch.setattr(line_dedup, "written", lambda *a, **more: (made.append((a[1], write(*a, **more))), made[-1][1])[1])
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in local for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = shuffles()
+    places, links = line_dedup.line_groups(docs, line_dedup.Lines())
+    assert places.count() == 60 and components.components(links).select("component").distinct().count() == 30
+    there = {name for name, table in made if glob.glob(table.shared_path.removeprefix("file:") + "/*.parquet")}
+    assert there == {"members", "occurrences", "wide", "rest", "links"}
+    assert len(shuffles() - before) < 30
